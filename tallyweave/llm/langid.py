@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 DIMS = 4096
 FIT_ROWS = 400  # labelled documents for each language that the classifier is fitted on, the first by hash of doc_id
 CENTROIDS = 4
-REJECT = 0.3  # of the smallest similarity that a fitted document has to its own centroid
+REJECT = 0.2  # of the smallest similarity that a fitted document has to its own centroid
 _SPACE = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
 
 
@@ -76,8 +76,17 @@ def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k:
         df[dim] = n
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
+    def mean(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [key[0]], "mean": [vectors(sorted(rows["text"]), idf).mean(axis=0).astype("<f4").tobytes()]})
+
+    means = {r.lang: np.frombuffer(r["mean"], dtype="<f4") for r in sample.groupBy("lang").applyInPandas(mean, "lang string, mean binary").collect()}
+
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = vectors(sorted(rows["text"]), idf)
+        others = [m / np.linalg.norm(m) for lang, m in means.items() if lang != key[0]]
+        own = x @ (means[key[0]] / max(np.linalg.norm(means[key[0]]), 1e-12))
+        sure = own > (x @ np.stack(others).T).max(axis=1) if others else own >= 0  # wrongly labelled rows make no centroid
+        x = x[sure] if sure.any() else x
         c = clusters(x, k)
         cos = x @ c.T
         own = np.argmax(cos, axis=1)

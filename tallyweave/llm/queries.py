@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, langid, media, mixing, packing, simhash, toxicity
+from . import ann, chat_format, langid, licenses, media, mixing, packing, simhash, toxicity
 
 
 def tokenizer_path() -> str:
@@ -31,6 +31,10 @@ def op5_language_id(spark, sf_dir):
     return langid.language_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark, sf_dir):
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_ALL = (op1_chat_format, op2_best_fit_packing, op4_mix_sources, op5_language_id, op7_media_columns, op8_simhash, op9_nearest, op10_toxicity)
+_ALL = (op1_chat_format, op2_best_fit_packing, op4_mix_sources, op5_language_id, op6_license_scan, op7_media_columns, op8_simhash, op9_nearest, op10_toxicity)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op1_chat_format": chat_format.CHAT_SQL, "op4_mix_sources": mixing.MIX_SQL}

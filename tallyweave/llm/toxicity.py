@@ -23,7 +23,7 @@ SEED_LEXICON = ("bastard", "clown", "cretin", "disgusting", "dumb", "fool", "idi
 EXCEPTIONS = ("class clown", "clown fish", "idiot light", "idiot proof", "loser bracket", "sore loser", "trash bag", "trash bin", "trash can", "trash collection", "keep it simple stupid", "oxy moron")
 FIT_TOXIC, FIT_CLEAN = 6000, 12000  # labelled documents that the lexicon is fitted on at most, the first by hash of doc_id
 MAX_TERMS = 4000
-MIN_G2, MIN_LIFT = 16.0, 4.0
+MIN_G2, MIN_LIFT = 14.0, 40.0
 
 _FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTIONS)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,7 +74,7 @@ def measure(text: str, found) -> float:
     """Matched weight divided by a slowly growing length, so that long texts need more of it."""
     folded = fold(text)
     weight, n = matched_weight(folded, found) if len(found) else (0.0, 0)
-    return weight / math.log(math.e + len(text) / 6) if n else 0.0
+    return weight / (1 + len(text) / 6) ** 0.25 if n else 0.0
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train, max_toxic: int = FIT_TOXIC, max_clean: int = FIT_CLEAN) -> dict:
