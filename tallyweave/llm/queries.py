@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, langid, licenses, media, mixing, packing, simhash, toxicity
+from . import ann, chat_format, langid, licenses, media, mixing, packing, simhash, suffix_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -23,6 +23,10 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,6 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_ALL = (op1_chat_format, op2_best_fit_packing, op4_mix_sources, op5_language_id, op6_license_scan, op7_media_columns, op8_simhash, op9_nearest, op10_toxicity)
+_ALL = (op1_chat_format, op2_best_fit_packing, op3_suffix_dedup, op4_mix_sources, op5_language_id, op6_license_scan, op7_media_columns, op8_simhash, op9_nearest, op10_toxicity)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op1_chat_format": chat_format.CHAT_SQL, "op4_mix_sources": mixing.MIX_SQL}
