@@ -31,9 +31,13 @@ from .suffix_array import ragged, sort_many, sort_suffixes
 
 LENGTH, GRAM = 50, 24
 BLOCK_BYTES = 2_000_000
+STRETCH = 1 << 15
 BUCKET_KEYS = 600_000  # anchors of a bucket, about
 LONG_TEXT = 3000  # texts that are sorted alone rather than in step
 _PLACE = np.uint64((1 << 28) - 1)
+_LOW = np.uint64((1 << 40) - 1)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_BASE = 0xD6E8FEB86659FD93
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,27 +69,39 @@ class Block:
         if n > int(_PLACE):
             raise ValueError("documents of over 256 MB are not handled")
         raw = np.frombuffer(self.data + b"\0" * 8, dtype=np.uint8)
-        w = _words(raw, n)
-        m = n - GRAM + 1
-        h = _mix(_mix(_mix(w[:m]) ^ w[8 : m + 8]) ^ w[16 : m + 16])
-        low = (h & ~_PLACE) | np.arange(m, dtype=np.uint64)
-        for step in (1, 2, 4, 8):
-            low = np.minimum(low[:-step], low[step:])
-        width = LENGTH - GRAM + 1  # 27 places of a gram
-        low = np.minimum(low[: n - LENGTH + 1], low[width - 16 :][: n - LENGTH + 1])
         long = self.sizes >= LENGTH
-        change = np.zeros(n + 1, dtype=np.int32)
-        change[self.starts[long]] += 1
-        change[self.starts[long] + self.sizes[long] - LENGTH + 1] -= 1
-        inside = np.cumsum(change[: len(low)]) > 0
-        at = np.flatnonzero(inside)
-        if not len(at):
+        change = np.zeros(n + 1, dtype=np.int8)
+        np.add.at(change, self.starts[long], 1)
+        np.add.at(change, self.starts[long] + self.sizes[long] - LENGTH + 1, -1)
+        width, runs = LENGTH - GRAM + 1, []  # 27 places of a gram
+        depth = 0
+        for at in range(0, n - LENGTH + 1, STRETCH):  # short stretches stay in the processor's cache
+            m = min(STRETCH, n - LENGTH + 1 - at)
+            w = _words(raw[at:], m + LENGTH - 8)
+            k = m + width - 1
+            x, y, z = w[:k], w[8 : k + 8], w[16 : k + 16]
+            h = _mix(x * _ODD[0] + (y ^ (x >> np.uint64(29))) * _ODD[1] + (z ^ (y >> np.uint64(31))) * _ODD[2])
+            low = (h & ~_PLACE) | np.arange(k, dtype=np.uint64)
+            for step in (1, 2, 4, 8):
+                low = np.minimum(low[:-step], low[step:])
+            low = np.minimum(low[:m], low[width - 16 :])
+            inside = np.cumsum(change[at : at + m], dtype=np.int32) + depth
+            depth = int(inside[-1])
+            first = np.flatnonzero(inside > 0)
+            if not len(first):
+                continue
+            place = (low[first] & _PLACE).astype(np.int64)
+            new = np.ones(len(place), dtype=bool)
+            new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1)
+            head = np.flatnonzero(new)
+            runs.append((place[head] + at, first[head] + at, first[np.append(head[1:] - 1, len(first) - 1)] + at, h[place[head]]))
+        if not runs:
             return
-        place = (low[at] & _PLACE).astype(np.int64)
-        head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
-        self.place, self.first = place[head], at[head]
-        self.last = at[np.append(head[1:] - 1, len(at) - 1)]
-        self.hash = h[self.place]
+        self.place, self.first, last, self.hash = (np.concatenate(c) for c in zip(*runs, strict=True))
+        new = np.ones(len(last), dtype=bool)
+        new[1:] = (self.place[1:] != self.place[:-1]) | (self.first[1:] != last[:-1] + 1)
+        head = np.flatnonzero(new)  # a run goes on in the next stretch
+        self.place, self.first, self.hash, self.last = self.place[head], self.first[head], self.hash[head], last[np.append(head[1:] - 1, len(last) - 1)]
         self.doc = np.searchsorted(self.starts + self.sizes, self.first, side="right")
 
 
@@ -144,13 +160,51 @@ def _drop(spark, name: str) -> None:
         pass
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, kept for the blocks to come."""
+    if len(_known_powers) == 0 or len(_known_powers[0]) < n:
+        size = max(n, BLOCK_BYTES + 150_000)
+        _known_powers[:] = [np.multiply.accumulate(np.full(size, base, dtype=np.uint64)) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _known_powers[0], _known_powers[1]
+
+
+_known_powers: list[np.ndarray] = []
+
+
+def text_hashes(block: Block, rows: np.ndarray) -> np.ndarray:
+    """A hash of the text that all 50-byte strings of an anchor span, and of the anchor's place in it."""
+    n = len(block.data)
+    power, inverse = _powers(n)
+    raw = np.frombuffer(block.data + b"\0" * 8, dtype=np.uint8)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    for at in range(0, n, STRETCH):
+        m = min(STRETCH, n - at)
+        np.cumsum(_mix(_words(raw[at:], m)) * power[at : at + m], out=sums[at + 1 : at + 1 + m])
+        sums[at + 1 : at + 1 + m] += sums[at]
+    a, b = block.first[rows], block.last[rows] + LENGTH
+    shape = ((b - a) << 8 | (block.place[rows] - a)).astype(np.uint64)
+    return _mix((sums[b - 7] - sums[a]) * inverse[a] + shape * _ODD[0])
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(40)) % np.uint64(buckets)
+
+
 def distinct_hashes(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes of the anchors by bucket, the bucket of each, and whether two of the block's documents have it."""
-    order = np.lexsort((block.doc, block.hash, (block.hash >> np.uint64(40)) % np.uint64(buckets)))
-    h, doc = block.hash[order], block.doc[order]
-    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
-    tail = np.append(head[1:] - 1, len(h) - 1) if len(h) else head
-    return h[head], ((h[head] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), block.ids[doc[head]] != block.ids[doc[tail]]
+    """Distinct (bucket, 5 bytes of hash) of the anchors as numbers, whether two of the block's documents have each,
+    and which of them each anchor has."""
+    keys = bucket_of(block.hash, buckets) << np.uint64(40) | block.hash & _LOW
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    head = np.flatnonzero(new)
+    own = np.empty(len(keys), dtype=np.int64)
+    own[order] = np.cumsum(new) - 1
+    if not len(head):
+        return keys, new, own
+    ids = block.ids[block.doc[order]]
+    return keys[head], np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head), own
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -163,9 +217,9 @@ def ask_anchors(buckets: int) -> Callable:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block_id, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, bucket, twice = distinct_hashes(unpack_block(blob.as_py()), buckets)
-                five = np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-                parts = list(_split(bucket))
+                keys, twice, _ = distinct_hashes(unpack_block(blob.as_py()), buckets)
+                five = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+                parts = list(_split((keys >> np.uint64(40)).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([p for p, _, _ in parts], pa.int32()), pa.array([block_id] * len(parts), pa.int64()),
                     pa.array([five[a:b].tobytes() for _, a, b in parts], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in parts], pa.binary()),
@@ -192,37 +246,30 @@ def answer_anchors(rows: pd.DataFrame) -> pd.DataFrame:
 
 def shared_anchors(block: Block, answers: pd.DataFrame, buckets: int) -> np.ndarray:
     """Rows of the block's anchors that other documents have too, given the answers to ``ask_anchors``."""
-    h, bucket, _ = distinct_hashes(block, buckets)
-    shared = np.zeros(len(h), dtype=bool)
+    keys, _, own = distinct_hashes(block, buckets)
+    shared = np.zeros(len(keys), dtype=bool)
     known = dict(zip(answers["bucket"], answers["answer"], strict=True))
-    for part, a, b in _split(bucket):
+    for part, a, b in _split((keys >> np.uint64(40)).astype(np.int64)):
         shared[a:b] = np.unpackbits(np.frombuffer(known[part], dtype=np.uint8), count=b - a).astype(bool)
-    by_hash = np.argsort(h)
-    return np.flatnonzero(shared[by_hash][np.searchsorted(h[by_hash], block.hash)])
-
-
-def regions(block: Block, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple], np.ndarray]:
-    """The distinct texts around shared anchors: (their number for each row, (bucket, hash, text) by bucket, smallest
-    doc_id of each). A text spans all 50-byte strings of its anchor."""
-    data, seen, own = block.data, {}, np.empty(len(rows), dtype=np.int64)
-    least: list[int] = []
-    hashes = block.hash[rows].tolist()
-    ids = block.ids[block.doc[rows]].tolist()
-    shift = (block.place[rows] - block.first[rows]).tolist()
-    for i, (h, s, a, b, doc_id) in enumerate(zip(hashes, shift, block.first[rows].tolist(), block.last[rows].tolist(), ids, strict=True)):
-        key = (h, s, data[a : b + LENGTH])
-        n = seen.setdefault(key, len(least))
-        if n == len(least):
-            least.append(doc_id)
-        elif doc_id < least[n]:
-            least[n] = doc_id
-        own[i] = n
-    keys = list(seen)
-    bucket = np.array([(k[0] >> 40) % buckets for k in keys], dtype=np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    return rank[own], [(int(bucket[i]), *keys[i]) for i in order], np.array(least, dtype=np.int64)[order]
+    return np.flatnonzero(shared[own])
+
+
+def regions(block: Block, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct texts around shared anchors, sorted by bucket: (number of the text for each row, and for each text
+    a row that has it with the smallest doc_id, its bucket and its hash). A text spans all 50-byte strings of its
+    anchor; texts are equal if the hashes of anchor and text are, 128 bits together."""
+    if not len(rows):
+        return rows, rows, rows, np.zeros(0, dtype=np.uint64)
+    h, text = block.hash[rows], text_hashes(block, rows)
+    bucket = bucket_of(h, buckets)
+    order = np.lexsort((block.ids[block.doc[rows]], text, h, bucket))
+    a, b = h[order], text[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    own = np.empty(len(order), dtype=np.int64)
+    own[order] = np.cumsum(new) - 1
+    heads = order[new]
+    return own, rows[heads], bucket[heads].astype(np.int64), text[heads]
 
 
 def ask_regions(buckets: int) -> Callable:
@@ -230,55 +277,52 @@ def ask_regions(buckets: int) -> Callable:
         out = ([], [], [])
         for block_id, blob in zip(blocks["block"], blocks["blob"], strict=True):
             block = unpack_block(blob)
-            _, keys, least = regions(block, shared_anchors(block, answers, buckets), buckets)
-            for part, a, b in _split(np.array([k[0] for k in keys], dtype=np.int64)):
+            _, rows, bucket, text = regions(block, shared_anchors(block, answers, buckets), buckets)
+            for part, a, b in _split(bucket):
                 out[0].append(part)
                 out[1].append(block_id)
-                out[2].append(_pack_regions(keys[a:b], least[a:b]))
+                out[2].append(_pack_regions(block, rows[a:b], text[a:b]))
         return pd.DataFrame({"bucket": np.array(out[0], dtype=np.int32), "block": np.array(out[1], dtype=np.int64), "texts": out[2]})
 
     return asked
 
 
-def _pack_regions(keys: list[tuple], least: np.ndarray) -> bytes:
+def _pack_regions(block: Block, rows: np.ndarray, text: np.ndarray) -> bytes:
     import zstandard
 
-    head = np.array([len(keys)], dtype="<i8").tobytes() + np.array([k[1] for k in keys], dtype="<u8").tobytes() + least.astype("<i8").tobytes()
-    small = np.array([[k[2] for k in keys], [len(k[3]) for k in keys]], dtype=np.uint8).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + small + b"".join(k[3] for k in keys))
+    size = block.last[rows] + LENGTH - block.first[rows]
+    data = np.frombuffer(block.data, dtype=np.uint8)[ragged(block.first[rows], size)]
+    head = np.concatenate([np.array([len(rows)], dtype=np.uint64), block.hash[rows], text, block.ids[block.doc[rows]].astype(np.uint64)])
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + size.astype(np.uint8).tobytes() + data.tobytes())
 
 
 def _unpack_regions(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-    h = np.frombuffer(raw, dtype="<u8", count=n, offset=8)
-    least = np.frombuffer(raw, dtype="<i8", count=n, offset=8 + 8 * n)
-    small = np.frombuffer(raw, dtype=np.uint8, count=2 * n, offset=8 + 16 * n)
-    return h, least, small[:n], small[n:].astype(np.int64), raw[8 + 18 * n :]
+    n = int(np.frombuffer(raw, dtype="<u8", count=1)[0])
+    h, text, least = np.frombuffer(raw, dtype="<u8", count=3 * n, offset=8).reshape(3, n)
+    return h, text, least.astype(np.int64), np.frombuffer(raw, dtype=np.uint8, count=n, offset=8 + 24 * n).astype(np.int64), raw[8 + 25 * n :]
 
 
 def answer_regions(rows: pd.DataFrame) -> pd.DataFrame:
     """For each text of each block: the smallest doc_id that has the text, and bits of the 50-byte strings in it that a
     still smaller doc_id has in another text around the same anchor."""
     parts = [_unpack_regions(t) for t in rows["texts"]]
-    h, least, shift, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    h, text, least, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
     data = b"".join(p[4] for p in parts)
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    seen: dict[tuple, int] = {}
-    own = np.empty(len(h), dtype=np.int64)
-    first: list[int] = []
-    for i, key in enumerate(zip(h.tolist(), shift.tolist(), (data[a : a + n] for a, n in zip(starts.tolist(), size.tolist(), strict=True)), strict=True)):
-        n = seen.setdefault(key, len(first))
-        if n == len(first):
-            first.append(i)
-        own[i] = n
-    lowest = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(lowest, own, least)
+    order = np.lexsort((text, h))
+    a, b = h[order], text[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    own = np.empty(len(order), dtype=np.int64)
+    own[order] = np.cumsum(new) - 1
+    first = order[new]
+    lowest = np.minimum.reduceat(least[order], np.flatnonzero(new))
     bits = np.zeros(len(first), dtype=np.uint32)
-    group, order = h[first], np.argsort(h[first], kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    group, order = h[first], np.arange(len(first))  # sorted by anchor
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     number = np.diff(np.append(head, len(order)))
     several = number > 1  # a text alone has only itself to be equal to
     if several.any():
@@ -351,9 +395,9 @@ def earlier_strings(texts: list[bytes], ids: np.ndarray, number: np.ndarray) ->
 def covered_bytes(block: Block, answers: pd.DataFrame, found: pd.DataFrame, buckets: int) -> np.ndarray:
     """Whether each byte of the block lies in a 50-byte string that a smaller doc_id also has."""
     rows = shared_anchors(block, answers, buckets)
-    own, keys, _ = regions(block, rows, buckets)
+    own, _, bucket, _ = regions(block, rows, buckets)
     known = dict(zip(found["bucket"], found["answer"], strict=True))
-    parts = [np.frombuffer(known[part], dtype=[("doc", "<i8"), ("bits", "<u4")]) for part, _, _ in _split(np.array([k[0] for k in keys], dtype=np.int64))]
+    parts = [np.frombuffer(known[part], dtype=[("doc", "<i8"), ("bits", "<u4")]) for part, _, _ in _split(bucket)]
     change = np.zeros(len(block.data) + 1, dtype=np.int32)
     if len(rows):
         answer = np.concatenate(parts)[own]
