@@ -15,14 +15,18 @@ from .common import stage
 
 CAPACITY = 2048
 SALTS = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000  # about 250 MB of a Python worker
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict = {}  # a Python worker loads a tokenizer once, whatever tasks it runs
 
 
 class WordCache(dict):
-    """Little-endian ids of text parts between spaces, which the tokenizer's pre-tokenizer never joins."""
+    """Little-endian ids of text parts between spaces, which the tokenizer's pre-tokenizer never joins.
+
+    It also takes a run of letters and a full stop or comma after it apart, and lower-cases all; so a word is encoded
+    once for all its forms.
+    """
 
     def __init__(self, path: str):
         import os
@@ -31,19 +35,40 @@ class WordCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def ids(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
         try:
             return b"".join([self[p] for p in parts])
         except KeyError:
-            if len(self) > CACHE_WORDS:
-                self.clear()
-            new = [p for p in dict.fromkeys(parts) if p not in self]
-            for part, encoded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self[part] = np.asarray(encoded.ids, dtype="<u4").tobytes()
+            self.learn(parts)
             return b"".join([self[p] for p in parts])
 
+    def learn(self, parts: list[str]) -> None:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        whole, forms = {".": None, ",": None} if "." not in self else {}, []
+        for part in dict.fromkeys(parts):
+            if part in self:
+                continue
+            word, end = (part[:-1], part[-1]) if part[-1:] in (".", ",") else (part, "")
+            if word.isalpha() and "\u0130" not in word and "\u03a3" not in word:  # these two have no plain lower case
+                word = word.lower()
+                forms.append((part, word, end))
+                if word not in self:
+                    if word.isascii():
+                        self[word] = np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
+                    else:
+                        whole[word] = None
+            else:
+                whole[part] = None
+        words = list(whole)
+        for word, encoded in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+            self[word] = np.array(encoded.ids, dtype="<u4").tobytes()
+        for part, word, end in forms:
+            self[part] = self[word] + self[end] if end else self[word]
+
 
 def word_cache(path: str) -> WordCache:
     if path not in _tokenizers:
