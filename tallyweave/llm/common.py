@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_by_hash(rows: DataFrame, group: str, key: str, limit, parts: int = 64) -> DataFrame:
+    """The first ``limit`` (a number or column) rows of each group by hash of ``key``, ties by key.
+
+    Each group is cut in ``parts`` first, so that no task gets more than ``limit`` times ``parts`` of its rows.
+    """
+    place = F.xxhash64(key)
+    rows = rows.withColumn("_part", F.pmod(place, F.lit(parts)))
+    for by in ([group, "_part"], [group]):
+        w = Window.partitionBy(*by).orderBy(place, key)
+        rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+    return rows.drop("_n", "_part")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of an undirected graph.
 

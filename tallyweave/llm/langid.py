@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
+
 DIMS = 4096
 FIT_ROWS = 400  # labelled documents for each language that the classifier is fitted on, the first by hash of doc_id
 CENTROIDS = 4
@@ -56,9 +58,7 @@ def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k:
     """A classifier from the rows where ``train`` holds and text and lang are known: at most ``fit_rows`` for each
     language, chosen by hash of doc_id. Returns idf, langs, centroids and each centroid's smallest allowed cosine."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fit_rows)
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    ids = first_by_hash(known.select("doc_id", "lang"), "lang", "doc_id", fit_rows).select(F.col("doc_id").alias("_id")).distinct()
     sample = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("lang", "text")  # fit_rows for a language
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

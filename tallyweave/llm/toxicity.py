@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
+
 # Characters that stand for a Latin letter, as homoglyphs or by digit substitution.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
@@ -85,8 +87,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, max_toxic: int = FIT
     the seed lexicon stands in.
     """
     known = labels.where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.when(F.col("toxic") == 1, max_toxic).otherwise(max_clean))
+    known = first_by_hash(known, "toxic", "doc_id", max(max_toxic, max_clean))
+    known = known.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    known = known.where(F.col("_n") <= F.when(F.col("toxic") == 1, max_toxic).otherwise(max_clean))
     known = known.select(F.col("doc_id").alias("_id"), (F.col("toxic") == 1).alias("toxic"))
     sample = docs.where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("toxic", "text")  # max_toxic + max_clean rows
 
