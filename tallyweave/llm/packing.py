@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import bisect
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
+from .suffix_array import ragged
 
 CAPACITY = 2048
 SALTS = 64
 CACHE_WORDS = 1_000_000  # about 250 MB of a Python worker
+TEXT_BYTES = 4_000_000  # of texts that are encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("token ids are kept as little-endian 32-bit numbers")
+
 _tokenizers: dict = {}  # a Python worker loads a tokenizer once, whatever tasks it runs
 
 
@@ -37,37 +45,51 @@ class WordCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
 
-    def ids(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self[p] for p in parts])
-        except KeyError:
-            self.learn(parts)
-            return b"".join([self[p] for p in parts])
-
-    def learn(self, parts: list[str]) -> None:
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; every distinct part of them is looked up once."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.known(words)
+        table = np.frombuffer(b"".join(known), dtype="<u4")
+        size = np.array([len(k) for k in known], dtype=np.int64) // 4
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        end = np.concatenate([[0], np.cumsum(size[which])])
+        ids = table[ragged(first[which], size[which])]
+        cuts = end[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def known(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts. Only plain words and parts of another kind are kept, not the forms of a word."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        whole, forms = {".": None, ",": None} if "." not in self else {}, []
-        for part in dict.fromkeys(parts):
-            if part in self:
-                continue
-            word, end = (part[:-1], part[-1]) if part[-1:] in (".", ",") else (part, "")
-            if word.isalpha() and "\u0130" not in word and "\u03a3" not in word:  # these two have no plain lower case
-                word = word.lower()
-                forms.append((part, word, end))
-                if word not in self:
-                    if word.isascii():
-                        self[word] = np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
-                    else:
-                        whole[word] = None
-            else:
-                whole[part] = None
-        words = list(whole)
-        for word, encoded in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self[word] = np.array(encoded.ids, dtype="<u4").tobytes()
-        for part, word, end in forms:
-            self[part] = self[word] + self[end] if end else self[word]
+        out: list[bytes] = [b""] * len(parts)
+        waiting: dict[str, list[tuple[int, str]]] = {}
+        tokenize, ends = self.model.tokenize, {"": b""} | {e: self.whole([e])[0] for e in ".,"}
+        for i, part in enumerate(parts):
+            found = self.get(part)
+            if found is None:
+                word, end = (part[:-1], part[-1]) if part[-1:] in (".", ",") else (part, "")
+                if word.isalpha() and "\u0130" not in word and "\u03a3" not in word:  # these two have no plain lower case
+                    word = word.lower()
+                    found = self.get(word)
+                    if found is None and word.isascii():
+                        found = self[word] = array("I", [t.id for t in tokenize(word)]).tobytes()
+                else:
+                    word, end = part, ""
+                if found is None:
+                    waiting.setdefault(word, []).append((i, end))
+                    continue
+                found += ends[end]
+            out[i] = found
+        for (word, places), found in zip(waiting.items(), self.whole(list(waiting)), strict=True):
+            self[word] = found
+            for i, end in places:
+                out[i] = found + ends[end]
+        return out
+
+    def whole(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
 
 def word_cache(path: str) -> WordCache:
@@ -76,6 +98,17 @@ def word_cache(path: str) -> WordCache:
     return _tokenizers[path]
 
 
+def encoded(texts: pa.Array, cache: WordCache) -> Iterator[bytes]:
+    """The ids of each text, null as empty, some megabytes of text at a time."""
+    texts = pc.fill_null(texts, "")
+    bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(texts):
+        till = max(at + 1, int(np.searchsorted(bytes_before, bytes_before[at] + TEXT_BYTES, "right")) - 1)
+        yield from cache.ids(texts.slice(at, till - at))
+        at = till
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Pieces of at most ``capacity`` tokens; ``tokenizer_path`` is a file that every executor has."""
 
@@ -83,8 +116,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         cache, end = word_cache(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = cache.ids(text.as_py() or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), cache), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
