@@ -60,7 +60,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def first_by_hash(rows: DataFrame, group: str, key: str, limit, parts: int = 64) -> DataFrame:
+def first_by_hash(rows: DataFrame, group: str, key: str, limit, parts: int = 16) -> DataFrame:
     """The first ``limit`` (a number or column) rows of each group by hash of ``key``, ties by key.
 
     Each group is cut in ``parts`` first, so that no task gets more than ``limit`` times ``parts`` of its rows.

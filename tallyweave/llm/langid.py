@@ -100,15 +100,15 @@ def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k:
     }
 
 
-def identify_languages(docs: DataFrame, model: dict, reject: float = REJECT) -> DataFrame:
-    """Adds lang_pred, score (cosine to the nearest centroid, 0..1) and rejected to documents (doc_id, text, ...).
+def identify_languages(docs: DataFrame, model: dict, reject: float = REJECT, added: tuple = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Adds three columns, named in ``added``: lang_pred, score (cosine to the nearest centroid, 0..1) and rejected to documents (doc_id, text, ...).
 
     A text that is null or has no letter is ``und`` with score 0 and rejected, as is every text if the model knows no
     language. Any other text gets the language of its nearest centroid; it is rejected if it lies further off than
     ``reject`` times the smallest cosine of that centroid's fitted documents. Whole texts count, of any length.
     Columns named like the added ones are replaced.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    names = [c for c in docs.columns if c not in added]
     text_at = names.index("text")
     idf, langs, low, centroids = model["idf"], np.asarray([*model["langs"], "und"], dtype=object), model["low"], model["centroids"]
 
@@ -125,11 +125,11 @@ def identify_languages(docs: DataFrame, model: dict, reject: float = REJECT) ->
                     score[rows] = np.clip(cos.max(axis=1), 0, 1)
                 out = (own == len(langs) - 1) | (score < np.append(low * reject, 2.0)[own])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i) for i in range(len(names))), pa.array(langs[own], pa.string()), pa.array(score), pa.array(out)], names=[*names, "lang_pred", "score", "rejected"]
+                    [*(batch.column(i) for i in range(len(names))), pa.array(langs[own], pa.string()), pa.array(score), pa.array(out)], names=[*names, *added]
                 )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return docs.select(*names).mapInArrow(predict, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return docs.select(*names).mapInArrow(predict, f"{kinds}, {added[0]} string, {added[1]} double, {added[2]} boolean")
 
 
 def held_out(docs: DataFrame) -> F.Column:
@@ -147,4 +147,4 @@ def language_digest(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is recognised, with their own columns."""
     model = fit_languages(docs, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    return identify_languages(docs, model).where("not rejected").select(*docs.columns)
+    return identify_languages(docs, model, added=("_tw_lang", "_tw_score", "_tw_rejected")).where("not _tw_rejected").select(*docs.columns)

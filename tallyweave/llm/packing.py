@@ -19,7 +19,7 @@ from .suffix_array import ragged
 
 CAPACITY = 2048
 SALTS = 64
-CACHE_WORDS = 1_000_000  # about 250 MB of a Python worker
+CACHE_WORDS = 700_000  # about 180 MB of a Python worker
 TEXT_BYTES = 4_000_000  # of texts that are encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

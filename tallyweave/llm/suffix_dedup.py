@@ -208,9 +208,11 @@ def distinct_hashes(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    for a, b in zip(head, [*head[1:], len(bucket)], strict=True):
-        yield int(bucket[a]), int(a), int(b)
+    """(bucket, start, end) of each run of a sorted array."""
+    if len(bucket):
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(bucket[a]), a, b
 
 
 def ask_anchors(buckets: int) -> Callable:
@@ -467,7 +469,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs, texts=False)
+    return remove_repeats(docs.select("doc_id", "text"), texts=False)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:

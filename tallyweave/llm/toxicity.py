@@ -86,12 +86,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, max_toxic: int = FIT
     enters if its documents are toxic significantly often; its weight is its smoothed log odds. With no toxic label
     the seed lexicon stands in.
     """
-    known = labels.where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select("doc_id", "toxic").where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = first_by_hash(known, "toxic", "doc_id", max(max_toxic, max_clean))
     known = known.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
     known = known.where(F.col("_n") <= F.when(F.col("toxic") == 1, max_toxic).otherwise(max_clean))
     known = known.select(F.col("doc_id").alias("_id"), (F.col("toxic") == 1).alias("toxic"))
-    sample = docs.where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("toxic", "text")  # max_toxic + max_clean rows
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("toxic", "text")  # max_toxic + max_clean rows
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {True: Counter(), False: Counter()}
