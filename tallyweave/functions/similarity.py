@@ -56,15 +56,17 @@ def py_name_similarity(a: str, b: str) -> float:
 
 
 def partial_ratios(left: list[str], right: list[str]) -> np.ndarray:
-    """Best ratio of the shorter string with any stretch of the longer one of at most its length.
+    """Best ratio of the shorter string with any stretch of the longer one of its length, or a shorter one at either
+    end; of strings of one length, either way round.
 
     The stretches of all pairs advance together, one character a step; a word holds the state of each.
     """
     out = np.zeros(len(left))
     flat, starts, lengths, sizes, owners = [], [], [], [], []
     base = 0
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
-        short, long = (a, b) if len(a) <= len(b) else (b, a)
+    pairs = [(i, a, b) if len(a) <= len(b) else (i, b, a) for i, (a, b) in enumerate(zip(left, right, strict=True))]
+    pairs += [(i, b, a) for i, a, b in pairs if len(a) == len(b) and a != b]
+    for i, short, long in pairs:
         m, n = len(short), len(long)
         if not short:
             continue
@@ -73,7 +75,7 @@ def partial_ratios(left: list[str], right: list[str]) -> np.ndarray:
             continue
         if m > 63:
             ends = [(max(0, e - m), min(e, n)) for e in range(1, n + m)]
-            out[i] = max(py_ratio(short, long[s:e]) for s, e in ends)
+            out[i] = max(out[i], *(py_ratio(short, long[s:e]) for s, e in ends))
             continue
         masks = _masks(short)
         flat.extend(masks.get(c, 0) for c in long)
