@@ -60,6 +60,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python at most ``rows`` texts at a time in this session, so that an executor's memory stays bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, rows)
+
+
 def first_by_hash(rows: DataFrame, group: str, key: str, limit, parts: int = 16) -> DataFrame:
     """The first ``limit`` (a number or column) rows of each group by hash of ``key``, ties by key.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash
+from .common import first_by_hash, small_batches
 
 DIMS = 4096
 FIT_ROWS = 400  # labelled documents for each language that the classifier is fitted on, the first by hash of doc_id
@@ -57,6 +57,7 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> dict:
     """A classifier from the rows where ``train`` holds and text and lang are known: at most ``fit_rows`` for each
     language, chosen by hash of doc_id. Returns idf, langs, centroids and each centroid's smallest allowed cosine."""
+    small_batches(docs.sparkSession)
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = first_by_hash(known.select("doc_id", "lang"), "lang", "doc_id", fit_rows).select(F.col("doc_id").alias("_id")).distinct()
     sample = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("lang", "text")  # fit_rows for a language

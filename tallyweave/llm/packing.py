@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 from .suffix_array import ragged
 
 CAPACITY = 2048
@@ -125,6 +125,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
 
 

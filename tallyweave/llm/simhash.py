@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage
+from .common import connected_components, small_batches, stage
 
 RADIUS = 3
 HOT = 1000  # fingerprints that share a segment; beyond it the bucket is split by bytes of the other segment
@@ -37,6 +37,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
 
 

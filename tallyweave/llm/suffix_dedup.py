@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, staged_path
+from .common import small_batches, stage, staged_path
 from .suffix_array import ragged, sort_many, sort_suffixes
 
 LENGTH, GRAM = 50, 24
@@ -146,6 +146,7 @@ def blocks_table(docs: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     spark = docs.sparkSession
+    small_batches(spark)
     name = f"tallyweave_{uuid.uuid4().hex}"
     rows = docs.where("doc_id is not null").select("doc_id", "text", "carried").mapInArrow(packed, "block long, size long, blob binary")
     rows.write.bucketBy(buckets, "block").option("path", staged_path(spark, name)).format("parquet").saveAsTable(name)
