@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from ..functions.text import py_dense
 from ..operators import candidates as C
 from ..operators import merge, score
 from ..operators.decide import decide
+from .staging import written
 
 
 def resolve(items: DataFrame, prices: DataFrame, cfg: dict, brands: DataFrame | None = None) -> DataFrame:
@@ -22,6 +22,7 @@ def resolve(items: DataFrame, prices: DataFrame, cfg: dict, brands: DataFrame |
     target, ``restrict_to_price_list_brands`` keeps items without a known brand from being matched. All lists are
     matched in one job; the inventory is prepared once.
     """
+    items, prices = written(items, "items"), written(prices, "prices")  # each is used several times below
     if brands is not None:
         named = [(r.list_ord, r.target or "") for r in brands.select("list_ord", "target").collect()]  # a run has few lists
     else:
@@ -34,13 +35,11 @@ def resolve(items: DataFrame, prices: DataFrame, cfg: dict, brands: DataFrame |
     gated = gated.select("list_ord", "item_id", gate.alias("gate"))
     open_ids = gated.where("gate is null").select("list_ord", "item_id")
 
-    # each is used several times below; lost parts are computed again from their inputs
-    items, prices = items.persist(StorageLevel.MEMORY_AND_DISK), prices.persist(StorageLevel.MEMORY_AND_DISK)
     tokens = C.item_tokens(items)
-    postings = C.containment(tokens, prices).persist(StorageLevel.MEMORY_AND_DISK)
-    weights = C.token_weights(postings, prices)
+    postings = written(C.containment(tokens, prices), "postings")
+    weights = written(C.token_weights(postings, prices), "weights")
     hits = C.exact_hits(items, prices).union(C.family_hits(items, prices)).union(C.prefix_hits(items, prices)).union(C.token_hits(tokens, postings, weights))
-    pairs = C.top_candidates(hits.join(open_ids, ["list_ord", "item_id"], "left_semi"), int(cfg["max_candidates"]))
+    pairs = written(C.top_candidates(hits.join(open_ids, ["list_ord", "item_id"], "left_semi"), int(cfg["max_candidates"])), "pairs")
 
     found = tokens.join(postings.join(weights, ["list_ord", "token"]), "token").groupBy("list_ord", "item_id", "price_id").agg(F.sum("idf").alias("found"))
     total = tokens.join(weights, "token").groupBy("list_ord", "item_id").agg(F.sum("idf").alias("total"))
