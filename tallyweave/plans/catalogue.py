@@ -93,8 +93,10 @@ def raw_prices(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def prices(spark: SparkSession, d: str) -> DataFrame:
-    rows = layout.finalize(raw_prices(spark, d))
+def prices(spark: SparkSession, d: str, one_list: bool = False) -> DataFrame:
+    """The cleaned rows of both lists, or of all parts as a single list 0."""
+    raw = raw_prices(spark, d)
+    rows = layout.finalize(raw.withColumn("list_ord", F.lit(0)) if one_list else raw)
     return clean.clean_prices(rows, CFG["min_valid_price"], CFG["max_valid_price"], ["list_ord"])
 
 
@@ -472,8 +474,8 @@ def similarities(spark, d):
 
 @query()
 def resolve_prices(spark, d):
-    """Every inventory row with at most one price row of the first list."""
-    return resolve.resolve(items(spark, d), prices(spark, d).where("list_ord = 0"), CFG)
+    """Every inventory row with at most one price row of a list of all parts."""
+    return resolve.resolve(items(spark, d), prices(spark, d, one_list=True), CFG)
 
 
 @query()

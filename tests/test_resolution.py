@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import attributes, numbers, similarity, text
 from tallyweave.operators import clean, layout, results
+from tallyweave.plans import catalogue as plan_catalogue
 from tallyweave.plans import resolve
 from tallyweave.plans.session import COLUMNS, Engine
 from tallyweave.sources import config, sheets
@@ -211,3 +212,12 @@ def test_entry_lists_queries_and_sql(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_flagship_query_reads_the_whole_price_list(spark, tmp_path):
+    kinds = ["COPPER", "BRASS", "NICKEL", "STEEL", "TIN", "ZINC"]
+    parts = [(3 * i, f"item{i} piece{i}", kinds[i - 1], 10 + i, "Brand#1", 1000.0 + i) for i in range(1, 7)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(3, 5.0)], "l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = {r.item_id: (r.list_ord, r.pdf_code, r.price) for r in plan_catalogue.resolve_prices(spark, str(tmp_path)).collect()}
+    assert out == {key: (0, f"{kind}-{size}", price) for key, _, kind, size, _, price in parts}
