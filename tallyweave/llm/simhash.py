@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, small_batches, stage
+from .near_copies import one_of_each
 
 RADIUS = 3
 HOT = 1000  # fingerprints that share a segment; beyond it the bucket is split by bytes of the other segment
@@ -96,6 +97,5 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with its smallest doc_id (of repeated rows, each)."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").select(*docs.columns)
+    """One row of each group of near copies, as the pipeline takes them; op8's radius is no part of it."""
+    return one_of_each(docs)
