@@ -15,7 +15,10 @@ from .common import first_by_hash, small_batches
 DIMS = 4096
 FIT_ROWS = 400  # labelled documents for each language that the classifier is fitted on, the first by hash of doc_id
 CENTROIDS = 4
-REJECT = 0.2  # of the smallest similarity that a fitted document has to its own centroid
+REJECT = 0.6  # of the similarity that all but LOW of the fitted texts of the same length have to a centroid of their language
+LOW = 0.01
+SIZES = tuple(2**i for i in range(3, 14))  # bytes at which that similarity is taken, from the beginnings of the fitted texts
+FEW = 0.05  # of a language's fitted texts; a smaller cluster is no centroid
 _SPACE = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
 
 
@@ -39,24 +42,34 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from farthest-first seeds; the same rows give the same centroids."""
-    mean = x.mean(axis=0)
-    seeds = [int(np.argmax(x @ mean))]
-    near = x @ x[seeds[0]]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[seeds[-1]])
-    c = x[seeds]
+    """Spherical k-means from rows drawn with a fixed seed; the same rows give the same centroids. Clusters of few rows
+    are left out, so that no outlier is a centroid."""
+    c = x[np.sort(np.random.default_rng(0).choice(len(x), min(k, len(x)), replace=False))]
     for _ in range(rounds):
         own = np.argmax(x @ c.T, axis=1)
         c = np.stack([x[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
         c /= np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-12)
-    return c
+    return c[np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c)) >= FEW * len(x)]
+
+
+def bytes_of(text: str) -> int:
+    return len(text.encode("utf-8", "ignore"))
+
+
+def usual(texts: list[str], centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The cosine to the nearest centroid that all but ``LOW`` of the texts exceed when cut to each of ``SIZES``, never
+    falling with the size; a size that no text has takes that of the size before."""
+    out = np.zeros(len(SIZES))
+    for i, size in enumerate(SIZES):
+        cut = [t.encode("utf-8", "ignore")[:size].decode("utf-8", "ignore") for t in texts if bytes_of(t) >= size]
+        found = float(np.quantile((vectors(cut, idf) @ centroids.T).max(axis=1), LOW)) if cut else 0.0
+        out[i] = max(found, out[i - 1] if i else 0.0)
+    return out
 
 
 def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> dict:
     """A classifier from the rows where ``train`` holds and text and lang are known: at most ``fit_rows`` for each
-    language, chosen by hash of doc_id. Returns idf, langs, centroids and each centroid's smallest allowed cosine."""
+    language, chosen by hash of doc_id. Returns idf, langs, centroids and each centroid's usual cosines by text size (``usual``)."""
     small_batches(docs.sparkSession)
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = first_by_hash(known.select("doc_id", "lang"), "lang", "doc_id", fit_rows).select(F.col("doc_id").alias("_id")).distinct()
@@ -83,20 +96,20 @@ def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k:
     means = {r.lang: np.frombuffer(r["mean"], dtype="<f4") for r in sample.groupBy("lang").applyInPandas(mean, "lang string, mean binary").collect()}
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = vectors(sorted(rows["text"]), idf)
+        texts = sorted(rows["text"])
+        x = vectors(texts, idf)
         others = [m / np.linalg.norm(m) for lang, m in means.items() if lang != key[0]]
         own = x @ (means[key[0]] / max(np.linalg.norm(means[key[0]]), 1e-12))
         sure = own > (x @ np.stack(others).T).max(axis=1) if others else own >= 0  # wrongly labelled rows make no centroid
-        x = x[sure] if sure.any() else x
+        if sure.any():
+            x, texts = x[sure], [t for t, ok in zip(texts, sure, strict=True) if ok]
         c = clusters(x, k)
-        cos = x @ c.T
-        own = np.argmax(cos, axis=1)
-        low = [float(cos[own == i, i].min()) if (own == i).any() else 1.0 for i in range(len(c))]
+        low = usual(texts, c, idf).astype("<f8").tobytes()
         return pd.DataFrame({"lang": key[0], "low": low, "centroid": [v.astype("<f4").tobytes() for v in c]})
 
-    fitted = sample.groupBy("lang").applyInPandas(fit, "lang string, low double, centroid binary").orderBy("lang", "centroid").collect()
+    fitted = sample.groupBy("lang").applyInPandas(fit, "lang string, low binary, centroid binary").orderBy("lang", "centroid").collect()
     return {
-        "idf": idf, "langs": [r.lang for r in fitted], "low": np.asarray([r.low for r in fitted]),
+        "idf": idf, "langs": [r.lang for r in fitted], "low": np.stack([np.frombuffer(r.low, dtype="<f8") for r in fitted]) if fitted else np.zeros((0, len(SIZES))),
         "centroids": np.stack([np.frombuffer(r.centroid, dtype="<f4") for r in fitted]) if fitted else np.zeros((0, DIMS), np.float32),
     }
 
@@ -105,8 +118,9 @@ def identify_languages(docs: DataFrame, model: dict, reject: float = REJECT, add
     """Adds three columns, named in ``added``: lang_pred, score (cosine to the nearest centroid, 0..1) and rejected to documents (doc_id, text, ...).
 
     A text that is null or has no letter is ``und`` with score 0 and rejected, as is every text if the model knows no
-    language. Any other text gets the language of its nearest centroid; it is rejected if it lies further off than
-    ``reject`` times the smallest cosine of that centroid's fitted documents. Whole texts count, of any length.
+    language. Any other text gets the language of its nearest centroid; it is rejected if its cosine is less than
+    ``reject`` times the usual one of that language's fitted texts at its size (see ``usual``; between two sizes by the
+    logarithm). Whole texts count, of any length.
     Columns named like the added ones are replaced.
     """
     names = [c for c in docs.columns if c not in added]
@@ -118,13 +132,14 @@ def identify_languages(docs: DataFrame, model: dict, reject: float = REJECT, add
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [t.as_py() or "" for t in batch.column(text_at)]
-                score, own = np.zeros(len(texts)), np.full(len(texts), len(langs) - 1)
+                score, own, bar = np.zeros(len(texts)), np.full(len(texts), len(langs) - 1), np.full(len(texts), 2.0)
                 rows = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if len(centroids) else []
                 if rows:
                     cos = vectors([texts[i] for i in rows], idf) @ centroids.T
                     own[rows] = np.argmax(cos, axis=1)
                     score[rows] = np.clip(cos.max(axis=1), 0, 1)
-                out = (own == len(langs) - 1) | (score < np.append(low * reject, 2.0)[own])
+                    bar[rows] = [reject * np.interp(np.log2(max(1, bytes_of(texts[i]))), np.log2(SIZES), low[own[i]]) for i in rows]
+                out = score < bar
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i) for i in range(len(names))), pa.array(langs[own], pa.string()), pa.array(score), pa.array(out)], names=[*names, *added]
                 )
