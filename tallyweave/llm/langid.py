@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import first_by_hash, small_batches
 
 DIMS = 4096
-FIT_ROWS = 400  # labelled documents for each language that the classifier is fitted on, the first by hash of doc_id
+FIT_ROWS = 400  # labelled documents for each language that centroids are fitted on, the first by hash of doc_id
 CENTROIDS = 4
 REJECT = 0.6  # of the similarity that all but LOW of the fitted texts of the same length have to a centroid of their language
 LOW = 0.01
@@ -68,8 +68,8 @@ def usual(texts: list[str], centroids: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 
 def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> dict:
-    """A classifier from the rows where ``train`` holds and text and lang are known: at most ``fit_rows`` for each
-    language, chosen by hash of doc_id. Returns idf, langs, centroids and each centroid's usual cosines by text size (``usual``)."""
+    """A classifier from the rows where ``train`` holds and text and lang are known: document frequencies of all, centroids
+    of at most ``fit_rows`` for each language, chosen by hash of doc_id. Returns idf, langs, centroids and each centroid's usual cosines by text size (``usual``)."""
     small_batches(docs.sparkSession)
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = first_by_hash(known.select("doc_id", "lang"), "lang", "doc_id", fit_rows).select(F.col("doc_id").alias("_id")).distinct()
@@ -84,7 +84,7 @@ def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["dim", "n"])
 
-    found = sample.mapInArrow(frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    found = known.select("lang", "text").mapInArrow(frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIMS + 1)
     for dim, n in found:
         df[dim] = n

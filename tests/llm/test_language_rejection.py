@@ -1,9 +1,11 @@
 """Distance-based rejection: gibberish and unknown languages go, short clean texts stay."""
 
 import base64
+import math
 import random
 import string
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyweave.llm import langid
@@ -35,3 +37,10 @@ def test_gibberish_and_unknown_languages_are_rejected(spark):
     assert len(rejected) == 5 and all(gone >= 0.95 * n for gone, n in rejected.values()), rejected
     clean = out.where("kind = 'clean'")
     assert clean.where("lang = lang_pred").count() >= 0.97 * clean.count()
+
+
+def test_document_frequencies_count_all_training_documents(spark):
+    rows = [(i, "common words" if i % 50 else "quaint zebra", "en") for i in range(300)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), fit_rows=10)
+    seen = sum((langid.counts(t) > 0).astype(int) for _, t, _ in rows)
+    assert np.allclose(model["idf"], [math.log(301 / (1 + n)) + 1 for n in seen])
