@@ -371,8 +371,24 @@ def test_nearest_recall_and_ties(spark):
 
 def test_an_index_finds_all_codes_within_a_radius():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & np.uint64(0x0F0F0F0F0F0F0F0F)
-    index = ann.Index(codes)
-    for radius in (0, 5, 9, 14):
-        for q in codes[:20]:
-            assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= radius).tolist()
+    x = rng.standard_normal((1500, 20)) * rng.uniform(0.5, 1, (1500, 1))
+    codes = ann.Codes(x[:400], float(np.sqrt((x * x).sum(axis=1).max())), 5)
+    index, bits = ann.Index(codes, x), codes.planes(x, False) > 0
+    for q in rng.standard_normal((8, 20)):
+        planes = codes.planes(q[None], True)[0]
+        flips = bits != (planes > 0)
+        parts = (flips * np.abs(planes)).reshape(len(x), ann.PARTS, ann.WIDTH).sum(axis=2)
+        for reach, radius in ((0.0, ann.BITS), (codes.reach, codes.radius), (2 * codes.reach, codes.radius + 40)):
+            table = (parts <= reach).any(axis=1)
+            near, touched = index.within(planes, reach, radius)
+            assert near.tolist() == np.flatnonzero(table & (flips.sum(axis=1) <= radius)).tolist() and touched == table.sum()
+            within = parts.sum(axis=1) <= ann.PARTS * reach  # pigeonhole: all of these are in some table's ball
+            assert not (within & ~table).any()
+        assert len(index.grown(planes, 0.0, 0, 21)) >= 21 and len(index.grown(planes, 0.0, 0, 5000)) == 1500
+
+
+def test_nearest_takes_integer_ids_and_clashing_columns(spark):
+    x = np.random.default_rng(3).standard_normal((60, 70))
+    table = spark.createDataFrame([(i, v.tolist(), i, 0, 1.0) for i, v in enumerate(x)], "vec_id int, embedding array<float>, class_id int, rank int, score double")
+    got = ann.nearest_digest(table).collect()
+    assert len(got) == 3 * 20 and {r.query_id for r in got} == {0, 20, 40}
