@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -60,11 +61,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hand Python at most ``rows`` texts at a time in this session, so that an executor's memory stays bounded."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """While it is open, jobs hand Python at most ``rows`` texts at a time, so that an executor's memory stays bounded."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
         spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def small_side(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``table``, a staged one of a few numbers a row, broadcast in joins if it has at most ``rows`` rows."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def first_by_hash(rows: DataFrame, group: str, key: str, limit, parts: int = 16) -> DataFrame:

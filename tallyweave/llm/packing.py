@@ -125,8 +125,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with small_batches(docs.sparkSession):
+        return stage(rows.mapInArrow(pieces, PIECES), "pieces")
 
 
 def plan_bins(counts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
@@ -217,7 +218,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     salts plus its row number in its own: no length is gathered in one task. Lengths must lie in 1..capacity. Repeated
     rows are pieces of their own; an empty table gives no rows.
     """
-    pieces = stage(pieces, "pieces").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     found = pieces.groupBy("length", "_salt").count().collect()
     table = np.zeros((capacity + 1, salts), dtype=np.int64)
     for length, salt, n in found:

@@ -38,8 +38,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with small_batches(docs.sparkSession):
+        return stage(rows.mapInArrow(hashed, "doc_id long, fp long"), "fingerprints")
 
 
 def near_pairs(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
@@ -83,7 +84,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     copies are never paired. Null texts and texts without words have fingerprint 0. A null doc_id is no candidate for
     component_id; a component of such rows alone has a null one. Repeated rows and empty tables need no care.
     """
-    found = stage(fingerprints(docs), "fingerprints")
+    found = fingerprints(docs)
     first = stage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     parts = connected_components(near_pairs(first.select("fp"), radius))
     linked = first.join(parts.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("component", F.coalesce("component", "fp"))

@@ -146,10 +146,10 @@ def blocks_table(docs: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     spark = docs.sparkSession
-    small_batches(spark)
     name = f"tallyweave_{uuid.uuid4().hex}"
     rows = docs.where("doc_id is not null").select("doc_id", "text", "carried").mapInArrow(packed, "block long, size long, blob binary")
-    rows.write.bucketBy(buckets, "block").option("path", staged_path(spark, name)).format("parquet").saveAsTable(name)
+    with small_batches(spark):
+        rows.write.bucketBy(buckets, "block").option("path", staged_path(spark, name)).format("parquet").saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
 
