@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import first_by_hash
 
@@ -122,8 +123,8 @@ def identify_languages(docs: DataFrame, model: dict, reject: float = REJECT, add
     logarithm). Whole texts count, of any length.
     Columns named like the added ones are replaced.
     """
-    names = [c for c in docs.columns if c not in added]
-    text_at = names.index("text")
+    names = [c for c in docs.columns if c.lower() not in added]
+    text_at = [c.lower() for c in names].index("text")
     idf, langs, low, centroids = model["idf"], np.asarray([*model["langs"], "und"], dtype=object), model["low"], model["centroids"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +144,9 @@ def identify_languages(docs: DataFrame, model: dict, reject: float = REJECT, add
                     [*(batch.column(i) for i in range(len(names))), pa.array(langs[own], pa.string()), pa.array(score), pa.array(out)], names=[*names, *added]
                 )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return docs.select(*names).mapInArrow(predict, f"{kinds}, {added[0]} string, {added[1]} double, {added[2]} boolean")
+    kinds = StructType.fromDDL(f"{added[0]} string, {added[1]} double, {added[2]} boolean")
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    return rows.mapInArrow(predict, StructType([*rows.schema.fields, *kinds.fields]))
 
 
 def held_out(docs: DataFrame) -> F.Column:

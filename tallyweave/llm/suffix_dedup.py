@@ -4,12 +4,15 @@ Every 50-byte string holds one anchor, the smallest hash among its 24-byte strin
 anchors at equal places. So documents need not be sorted as one text:
 
 1. Documents are packed into compressed blocks, once, in a table bucketed by block: later steps read it in place.
-2. Each block sends the hashes of its anchors, 5 bytes each, to the hash's bucket, and gets one bit for each: whether
-   the anchor also occurs in another document.
-3. For such anchors the block sends the text around them, each distinct text once with its smallest doc_id. In a
-   bucket the texts around one anchor are joined and suffix-sorted; suffixes that share 50 bytes are neighbours, and
-   those that a smaller doc_id also has are answered as bits.
+2. Each block sends the hashes of its anchors, 5 bytes each, to the hash's bucket, and gets two bits for each: whether
+   the anchor also occurs in another document, and whether it is hot, that is, has very many different texts.
+3. For shared anchors the block sends the text around them, each distinct text once with its smallest doc_id. A hot
+   anchor's text is sent as its 50-byte strings, each to the bucket of its own hash, so that no anchor is one task's.
+   In a bucket the texts around each anchor are joined and suffix-sorted, a text that many documents have as one range
+   of suffixes; suffixes that share 50 bytes are neighbours, and those that a smaller doc_id also has are answered.
 4. Each block marks the bytes that these strings cover.
+
+Hashes only bring texts together: those that count as equal are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import atexit
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,8 +29,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import small_batches, stage, staged_path
+from .common import remove, small_batches, stage, staged_path
 from .suffix_array import ragged, sort_many, sort_suffixes
 
 LENGTH, GRAM = 50, 24
@@ -34,7 +39,12 @@ BLOCK_BYTES = 2_000_000
 STRETCH = 1 << 15
 BUCKET_KEYS = 600_000  # anchors of a bucket, about
 LONG_TEXT = 3000  # texts that are sorted alone rather than in step
-_PLACE = np.uint64((1 << 28) - 1)
+HOT_ANCHOR = 20_000  # different texts (by block) from which an anchor's strings are dealt out one by one
+OFTEN = 16  # texts in a block from which the block tells their number
+SPAN = 1 << 22  # bytes whose prefix sums are kept at once
+WIDEST = 80  # bytes that hold any text around an anchor
+BUCKET_BYTES, LEAST_BYTES = 64_000_000, 4_000_000  # input bytes of a bucket of blocks, and fewest where tasks are wanting
+_PLACE = np.uint64((1 << 28) - 1)  # places are within a stretch
 _LOW = np.uint64((1 << 40) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _BASE = 0xD6E8FEB86659FD93
@@ -56,8 +66,8 @@ def _words(raw: np.ndarray, n: int) -> np.ndarray:
 class Block:
     """Documents as one run of bytes, with the anchors of all strings of 50 bytes that lie within a document."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: bytes, carried_sizes: np.ndarray, carried: bytes):
-        self.ids, self.sizes, self.data, self.carried_sizes, self.carried = ids, sizes, data, carried_sizes, carried
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: bytes, carried: bytes):
+        self.ids, self.sizes, self.data, self.carried = ids, sizes, data, carried
         self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         self.place = self.first = self.last = self.doc = np.zeros(0, dtype=np.int64)
         self.hash = np.zeros(0, dtype=np.uint64)
@@ -66,8 +76,6 @@ class Block:
             self._anchors(n)
 
     def _anchors(self, n: int) -> None:
-        if n > int(_PLACE):
-            raise ValueError("documents of over 256 MB are not handled")
         raw = np.frombuffer(self.data + b"\0" * 8, dtype=np.uint8)
         long = self.sizes >= LENGTH
         change = np.zeros(n + 1, dtype=np.int8)
@@ -105,12 +113,11 @@ class Block:
         self.doc = np.searchsorted(self.starts + self.sizes, self.first, side="right")
 
 
-def pack_block(rows: list[tuple[int, bytes, bytes]]) -> bytes:
+def pack_block(ids: list[int], data: list[bytes], carried: bytes) -> bytes:
     import zstandard
 
-    ids, data, carried = zip(*rows, strict=True)
-    head = np.array([len(rows), *ids, *map(len, data), *map(len, carried)], dtype="<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(data) + b"".join(carried))
+    head = np.array([len(ids), *ids, *map(len, data)], dtype="<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(data) + carried)
 
 
 def unpack_block(blob: bytes) -> Block:
@@ -118,40 +125,59 @@ def unpack_block(blob: bytes) -> Block:
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-    head = np.frombuffer(raw, dtype="<i8", count=1 + 3 * n)[1:]
-    start = 8 * (1 + 3 * n)
-    end = start + int(head[n : 2 * n].sum())
-    return Block(head[:n], head[n : 2 * n], raw[start:end], head[2 * n :], raw[end:])
+    head = np.frombuffer(raw, dtype="<i8", count=1 + 2 * n)[1:]
+    start = 8 * (1 + 2 * n)
+    end = start + int(head[n:].sum())
+    return Block(head[:n], head[n:], raw[start:end], raw[end:])
+
+
+def _as_stream(parts: list[pa.RecordBatch]) -> bytes:
+    """Carried columns as Arrow writes them, so that all kinds of columns come back as they were."""
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_batches(parts).combine_chunks()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def blocks_table(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (block long, size long, blob) of (doc_id, text, carried), written once, bucketed by block. Rows without doc_id
-    are left out."""
+def blocks_table(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(rows (block long, size long, blob) of (doc_id long, text, carried columns), bucketed by block; bytes of text). Rows
+    without doc_id are left out. The number of buckets follows the bytes and, for small inputs, the cores."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count, rows, size = TaskContext.get().partitionId(), 0, [], 0
+        part, count, ids, data, rest, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + count], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_block(rows)], pa.binary())], names=["block", "size", "blob"])
+            carried = _as_stream(rest) if rest and rest[0].num_columns else b""
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + count], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_block(ids, data, carried)], pa.binary())], names=["block", "size", "blob"])
 
         for batch in batches:
-            for doc_id, text, carried in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = (text.as_py() or "").encode("utf-8")
-                rows.append((doc_id, data, carried.as_py().encode("utf-8")))
-                size += len(data)
-                if size >= BLOCK_BYTES or len(rows) >= 50_000:
+            others, begin = batch.select(range(2, batch.num_columns)), 0
+            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                own = (text.as_py() or "").encode("utf-8")
+                ids.append(doc_id)
+                data.append(own)
+                size += len(own)
+                if size >= BLOCK_BYTES or len(ids) >= 50_000:
+                    rest.append(others.slice(begin, i + 1 - begin))
                     yield flush()
-                    count, rows, size = count + 1, [], 0
-        if rows:
+                    count, ids, data, rest, size, begin = count + 1, [], [], [], 0, i + 1
+            if begin < batch.num_rows:
+                rest.append(others.slice(begin))
+        if ids:
             yield flush()
 
     spark = docs.sparkSession
-    name = f"tallyweave_{uuid.uuid4().hex}"
-    rows = docs.where("doc_id is not null").select("doc_id", "text", "carried").mapInArrow(packed, "block long, size long, blob binary")
+    first, name = staged_path(spark, "packed"), f"tallyweave_{uuid.uuid4().hex}"
     with small_batches(spark):
-        rows.write.bucketBy(buckets, "block").option("path", staged_path(spark, name)).format("parquet").saveAsTable(name)
+        docs.where("doc_id is not null").mapInArrow(packed, "block long, size long, blob binary").write.parquet(first)
+    rows = spark.read.schema("block long, size long, blob binary").parquet(first)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_BYTES), min(-(-total // LEAST_BYTES), 8 * spark.sparkContext.defaultParallelism))
+    rows.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", staged_path(spark, name)).format("parquet").saveAsTable(name)
+    remove(spark, first)
     atexit.register(_drop, spark, name)
-    return spark.table(name)
+    return spark.table(name), total
 
 
 def _drop(spark, name: str) -> None:
@@ -172,28 +198,55 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _known_powers: list[np.ndarray] = []
 
 
-def text_hashes(block: Block, rows: np.ndarray) -> np.ndarray:
-    """A hash of the text that all 50-byte strings of an anchor span, and of the anchor's place in it."""
-    n = len(block.data)
-    power, inverse = _powers(n)
-    raw = np.frombuffer(block.data + b"\0" * 8, dtype=np.uint8)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    for at in range(0, n, STRETCH):
-        m = min(STRETCH, n - at)
-        np.cumsum(_mix(_words(raw[at:], m)) * power[at : at + m], out=sums[at + 1 : at + 1 + m])
-        sums[at + 1 : at + 1 + m] += sums[at]
-    a, b = block.first[rows], block.last[rows] + LENGTH
-    shape = ((b - a) << 8 | (block.place[rows] - a)).astype(np.uint64)
-    return _mix((sums[b - 7] - sums[a]) * inverse[a] + shape * _ODD[0])
+class Spans(NamedTuple):
+    """Texts to compare: from ``first`` to ``last`` + 50, of the block's ``doc``-th document, with the place and the hash
+    of what they have in common."""
+
+    place: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    doc: np.ndarray
+    hash: np.ndarray
+
+
+def text_hashes(block: Block, spans: Spans) -> np.ndarray:
+    """A hash of each text and of the anchor's place in it."""
+    out = np.empty(len(spans.first), dtype=np.uint64)
+    order = np.argsort(spans.first, kind="stable")
+    cuts = np.searchsorted(spans.first[order], np.arange(0, len(block.data) + SPAN, SPAN))
+    for at, (i, j) in zip(range(0, len(block.data), SPAN), zip(cuts[:-1], cuts[1:], strict=True), strict=False):
+        if i == j:
+            continue
+        rows = order[i:j]
+        raw = np.frombuffer(block.data[at : at + SPAN + WIDEST] + b"\0" * 8, dtype=np.uint8)
+        n = len(raw) - 8
+        power, inverse = _powers(n)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        for k in range(0, n, STRETCH):
+            m = min(STRETCH, n - k)
+            np.cumsum(_mix(_words(raw[k:], m)) * power[k : k + m], out=sums[k + 1 : k + 1 + m])
+            sums[k + 1 : k + 1 + m] += sums[k]
+        a, b = spans.first[rows] - at, spans.last[rows] + LENGTH - at
+        shape = ((b - a) << 8 | (spans.place[rows] - spans.first[rows])).astype(np.uint64)
+        out[rows] = _mix((sums[b - 7] - sums[a]) * inverse[a] + shape * _ODD[0])
+    return out
+
+
+def padded_texts(data: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The texts as rows of ten 64-bit words, zeros behind their end."""
+    raw = np.frombuffer(data + b"\0" * WIDEST, dtype=np.uint8)
+    out = np.lib.stride_tricks.sliding_window_view(raw, WIDEST)[first]
+    out = np.where(np.arange(WIDEST) < size[:, None], out, 0).astype(np.uint8)
+    return out.view("<u8")
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> np.uint64(40)) % np.uint64(buckets)
 
 
-def distinct_hashes(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (bucket, 5 bytes of hash) of the anchors as numbers, whether two of the block's documents have each,
-    and which of them each anchor has."""
+def distinct_hashes(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (bucket, 5 bytes of hash) of the anchors as numbers, whether two of the block's documents have each, how
+    often each occurs, and which of them each anchor has."""
     keys = bucket_of(block.hash, buckets) << np.uint64(40) | block.hash & _LOW
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -203,9 +256,9 @@ def distinct_hashes(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray,
     own = np.empty(len(keys), dtype=np.int64)
     own[order] = np.cumsum(new) - 1
     if not len(head):
-        return keys, new, own
+        return keys, new, own, own
     ids = block.ids[block.doc[order]]
-    return keys[head], np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head), own
+    return keys[head], np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head), np.diff(np.append(head, len(keys))), own
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -216,63 +269,108 @@ def _split(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(bucket[a]), a, b
 
 
+def distinct_texts(block: Block, times: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many different texts each distinct anchor has in the block; anchors of fewer than ``OFTEN`` occurrences keep
+    their number of occurrences."""
+    rows = np.flatnonzero((times >= OFTEN)[own]) if len(own) else own
+    if not len(rows):
+        return times
+    text = text_hashes(block, Spans(block.place[rows], block.first[rows], block.last[rows], block.doc[rows], block.hash[rows]))
+    order = np.lexsort((text, own[rows]))
+    a, b = own[rows][order], text[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    out = times.copy()
+    out[np.unique(a)] = 0
+    np.add.at(out, a[new], 1)
+    return out
+
+
 def ask_anchors(buckets: int) -> Callable:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block_id, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, twice, _ = distinct_hashes(unpack_block(blob.as_py()), buckets)
+                block = unpack_block(blob.as_py())
+                keys, twice, times, own = distinct_hashes(block, buckets)
+                times = distinct_texts(block, times, own)
                 five = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
                 parts = list(_split((keys >> np.uint64(40)).astype(np.int64)))
+                often = [np.flatnonzero(times[a:b] >= OFTEN) for _, a, b in parts]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([p for p, _, _ in parts], pa.int32()), pa.array([block_id] * len(parts), pa.int64()),
                     pa.array([five[a:b].tobytes() for _, a, b in parts], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in parts], pa.binary()),
-                ], names=["bucket", "block", "keys", "twice"])
+                    pa.array([np.stack([o, times[a:b][o]]).astype("<u4").tobytes() for o, (_, a, b) in zip(often, parts, strict=True)], pa.binary()),
+                ], names=["bucket", "block", "keys", "twice", "often"])
 
     return asked
 
 
-def answer_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bit for each key of each block: another document has it too."""
-    sizes = [len(k) // 5 for k in rows["keys"]]
-    five = np.zeros((sum(sizes), 8), dtype=np.uint8)
-    five[:, :5] = np.frombuffer(b"".join(rows["keys"]), dtype=np.uint8).reshape(-1, 5)
-    keys = five.view("<u8").ravel()
-    twice = np.concatenate([np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=n).astype(bool) for t, n in zip(rows["twice"], sizes, strict=True)])
-    order = np.argsort(keys, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-    number = np.diff(np.append(head, len(keys)))
-    shared = np.empty(len(keys), dtype=bool)
-    shared[order] = np.repeat((number > 1) | np.logical_or.reduceat(twice[order], head), number)
-    cuts = np.cumsum(sizes)[:-1]
-    return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "answer": [np.packbits(s).tobytes() for s in np.split(shared, cuts)]})
-
-
-def shared_anchors(block: Block, answers: pd.DataFrame, buckets: int) -> np.ndarray:
-    """Rows of the block's anchors that other documents have too, given the answers to ``ask_anchors``."""
-    keys, _, own = distinct_hashes(block, buckets)
-    shared = np.zeros(len(keys), dtype=bool)
+def answer_anchors(hot: int) -> Callable:
+    """Two bits for each key of each block: another document has it too; it has ``hot`` texts or more."""
+
+    def answered(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = [len(k) // 5 for k in rows["keys"]]
+        five = np.zeros((sum(sizes), 8), dtype=np.uint8)
+        five[:, :5] = np.frombuffer(b"".join(rows["keys"]), dtype=np.uint8).reshape(-1, 5)
+        keys = five.view("<u8").ravel()
+        twice = np.concatenate([np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=n).astype(bool) for t, n in zip(rows["twice"], sizes, strict=True)])
+        times, at = np.ones(len(keys), dtype=np.int64), 0
+        for often, n in zip(rows["often"], sizes, strict=True):
+            place, number = np.frombuffer(often, dtype="<u4").reshape(2, -1)
+            times[at + place.astype(np.int64)] = number
+            at += n
+        order = np.argsort(keys, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        number = np.diff(np.append(head, len(keys)))
+        shared, many = np.empty(len(keys), dtype=bool), np.empty(len(keys), dtype=bool)
+        shared[order] = np.repeat((number > 1) | np.logical_or.reduceat(twice[order], head), number)
+        many[order] = np.repeat(np.add.reduceat(times[order], head) >= hot, number)
+        cuts = np.cumsum(sizes)[:-1]
+        answers = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared, cuts), np.split(many, cuts), strict=True)]
+        return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "answer": answers})
+
+    return answered
+
+
+def shared_spans(block: Block, answers: pd.DataFrame, buckets: int) -> Spans:
+    """The texts around the block's anchors that other documents have too, given the answers to ``ask_anchors``; of hot
+    anchors the 50-byte strings, which take their own hash for the anchor's."""
+    keys, _, _, own = distinct_hashes(block, buckets)
+    shared, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
     known = dict(zip(answers["bucket"], answers["answer"], strict=True))
     for part, a, b in _split((keys >> np.uint64(40)).astype(np.int64)):
-        shared[a:b] = np.unpackbits(np.frombuffer(known[part], dtype=np.uint8), count=b - a).astype(bool)
-    return np.flatnonzero(shared[own])
-
-
-def regions(block: Block, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct texts around shared anchors, sorted by bucket: (number of the text for each row, and for each text
-    a row that has it with the smallest doc_id, its bucket and its hash). A text spans all 50-byte strings of its
-    anchor; texts are equal if the hashes of anchor and text are, 128 bits together."""
+        half = len(known[part]) // 2
+        for found, bits in ((shared, known[part][:half]), (hot, known[part][half:])):
+            found[a:b] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a).astype(bool)
+    rows = np.flatnonzero((shared & ~hot)[own])
+    spans = Spans(block.place[rows], block.first[rows], block.last[rows], block.doc[rows], block.hash[rows])
+    rows = np.flatnonzero((shared & hot)[own])
     if not len(rows):
-        return rows, rows, rows, np.zeros(0, dtype=np.uint64)
-    h, text = block.hash[rows], text_hashes(block, rows)
+        return spans
+    number = block.last[rows] - block.first[rows] + 1
+    first, doc = ragged(block.first[rows], number), np.repeat(block.doc[rows], number)
+    each = Spans(first, first, first, doc, np.zeros(len(first), dtype=np.uint64))
+    each = each._replace(hash=_mix(text_hashes(block, each) ^ _ODD[1]))
+    return Spans(*(np.concatenate(pair) for pair in zip(spans, each, strict=True)))
+
+
+def regions(block: Block, spans: Spans, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct texts around shared anchors, sorted by bucket: (number of the text for each span, and for each text
+    a span that has it with the smallest doc_id, its bucket and its hash). A text spans all 50-byte strings of its
+    anchor; spans whose hashes are equal have one text if their bytes are equal."""
+    if not len(spans.first):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, np.zeros(0, dtype=np.uint64)
+    h, text = spans.hash, text_hashes(block, spans)
     bucket = bucket_of(h, buckets)
-    order = np.lexsort((block.ids[block.doc[rows]], text, h, bucket))
+    order = np.lexsort((block.ids[spans.doc], text, h, bucket))
     a, b = h[order], text[order]
+    words = padded_texts(block.data, spans.first[order], spans.last[order] + LENGTH - spans.first[order])
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (words[1:] != words[:-1]).any(axis=1)
     own = np.empty(len(order), dtype=np.int64)
     own[order] = np.cumsum(new) - 1
     heads = order[new]
-    return own, rows[heads], bucket[heads].astype(np.int64), text[heads]
+    return own, heads, bucket[heads].astype(np.int64), text[heads]
 
 
 def ask_regions(buckets: int) -> Callable:
@@ -280,22 +378,23 @@ def ask_regions(buckets: int) -> Callable:
         out = ([], [], [])
         for block_id, blob in zip(blocks["block"], blocks["blob"], strict=True):
             block = unpack_block(blob)
-            _, rows, bucket, text = regions(block, shared_anchors(block, answers, buckets), buckets)
+            spans = shared_spans(block, answers, buckets)
+            _, rows, bucket, text = regions(block, spans, buckets)
             for part, a, b in _split(bucket):
                 out[0].append(part)
                 out[1].append(block_id)
-                out[2].append(_pack_regions(block, rows[a:b], text[a:b]))
+                out[2].append(_pack_regions(block, Spans(*(x[rows[a:b]] for x in spans)), text[a:b]))
         return pd.DataFrame({"bucket": np.array(out[0], dtype=np.int32), "block": np.array(out[1], dtype=np.int64), "texts": out[2]})
 
     return asked
 
 
-def _pack_regions(block: Block, rows: np.ndarray, text: np.ndarray) -> bytes:
+def _pack_regions(block: Block, spans: Spans, text: np.ndarray) -> bytes:
     import zstandard
 
-    size = block.last[rows] + LENGTH - block.first[rows]
-    data = np.frombuffer(block.data, dtype=np.uint8)[ragged(block.first[rows], size)]
-    head = np.concatenate([np.array([len(rows)], dtype=np.uint64), block.hash[rows], text, block.ids[block.doc[rows]].astype(np.uint64)])
+    size = spans.last + LENGTH - spans.first
+    data = np.frombuffer(block.data, dtype=np.uint8)[ragged(spans.first, size)]
+    head = np.concatenate([np.array([len(size)], dtype=np.uint64), spans.hash, text, block.ids[spans.doc].astype(np.uint64)])
     return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + size.astype(np.uint8).tobytes() + data.tobytes())
 
 
@@ -317,20 +416,16 @@ def answer_regions(rows: pd.DataFrame) -> pd.DataFrame:
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     order = np.lexsort((text, h))
     a, b = h[order], text[order]
+    words = padded_texts(data, starts[order], size[order])
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (words[1:] != words[:-1]).any(axis=1)
     own = np.empty(len(order), dtype=np.int64)
     own[order] = np.cumsum(new) - 1
     first = order[new]
     lowest = np.minimum.reduceat(least[order], np.flatnonzero(new))
-    bits = np.zeros(len(first), dtype=np.uint32)
-    group, order = h[first], np.arange(len(first))  # sorted by anchor
+    group = h[first]  # sorted by anchor
     head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    number = np.diff(np.append(head, len(order)))
-    several = number > 1  # a text alone has only itself to be equal to
-    if several.any():
-        members = order[ragged(head[several], number[several])]
-        bits[members] = earlier_strings([data[starts[first[m]] : starts[first[m]] + size[first[m]]] for m in members], lowest[members], number[several])
+    bits = earlier_strings([data[starts[m] : starts[m] + size[m]] for m in first], lowest, np.diff(np.append(head, len(first))))
     answer = np.empty(len(h), dtype=[("doc", "<i8"), ("bits", "<u4")])
     answer["doc"], answer["bits"] = lowest[own], bits[own]
     cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
@@ -351,7 +446,7 @@ def earlier_strings(texts: list[bytes], ids: np.ndarray, number: np.ndarray) ->
     at = 0
     while at < len(by_size):
         till, total = at, 0
-        while till < len(by_size) and (till == at or total + chars[by_size[till]] <= 400_000):
+        while till < len(by_size) and (till == at or total + chars[by_size[till]] <= 100_000):
             total += chars[by_size[till]]
             till += 1
         own = by_size[at:till]
@@ -397,76 +492,88 @@ def earlier_strings(texts: list[bytes], ids: np.ndarray, number: np.ndarray) ->
 
 def covered_bytes(block: Block, answers: pd.DataFrame, found: pd.DataFrame, buckets: int) -> np.ndarray:
     """Whether each byte of the block lies in a 50-byte string that a smaller doc_id also has."""
-    rows = shared_anchors(block, answers, buckets)
-    own, _, bucket, _ = regions(block, rows, buckets)
+    spans = shared_spans(block, answers, buckets)
+    own, _, bucket, _ = regions(block, spans, buckets)
     known = dict(zip(found["bucket"], found["answer"], strict=True))
     parts = [np.frombuffer(known[part], dtype=[("doc", "<i8"), ("bits", "<u4")]) for part, _, _ in _split(bucket)]
     change = np.zeros(len(block.data) + 1, dtype=np.int32)
-    if len(rows):
+    if len(own):
         answer = np.concatenate(parts)[own]
-        ids = block.ids[block.doc[rows]]
-        whole = rows[ids > answer["doc"]]
-        np.add.at(change, block.first[whole], 1)
-        np.add.at(change, block.last[whole] + LENGTH, -1)
+        ids = block.ids[spans.doc]
+        whole = ids > answer["doc"]
+        np.add.at(change, spans.first[whole], 1)
+        np.add.at(change, spans.last[whole] + LENGTH, -1)
         some = np.flatnonzero((ids == answer["doc"]) & (answer["bits"] > 0))
         for bit in range(LENGTH - GRAM + 1):
-            hit = block.first[rows[some[answer["bits"][some] >> np.uint32(bit) & 1 > 0]]] + bit
+            hit = spans.first[some[answer["bits"][some] >> np.uint32(bit) & 1 > 0]] + bit
             np.add.at(change, hit, 1)
             np.add.at(change, hit + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, carried string"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
 
 def mark_blocks(buckets: int, texts: bool) -> Callable:
-    def marked(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def marked(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        answers, out = answers.to_pandas(), []
         asked, found = answers[answers["kind"] == 1], answers[answers["kind"] == 2]
         for blob in blocks["blob"]:
-            block = unpack_block(blob)
+            block = unpack_block(blob.as_py())
             gone = covered_bytes(block, asked, found, buckets)
-            raw = np.frombuffer(block.data, dtype=np.uint8)
-            carried = np.concatenate([[0], np.cumsum(block.carried_sizes)]).tolist()
-            for i, (doc_id, at, n) in enumerate(zip(block.ids.tolist(), block.starts.tolist(), block.sizes.tolist(), strict=True)):
+            raw, rows, left = np.frombuffer(block.data, dtype=np.uint8), [], []
+            for doc_id, at, n in zip(block.ids.tolist(), block.starts.tolist(), block.sizes.tolist(), strict=True):
                 own = gone[at : at + n]
                 removed = int(np.count_nonzero(own))
                 kept = raw[at : at + n][~own].tobytes() if removed else block.data[at : at + n]
                 spans = int(own[:1].sum() + np.count_nonzero(own[1:] > own[:-1])) if removed else 0
-                extra = (kept.decode("utf-8", "ignore"), block.carried[carried[i] : carried[i + 1]].decode("utf-8")) if texts else (None, None)
-                out.append((doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest(), *extra))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")])
+                rows.append((doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest()))
+                if texts:
+                    left.append(kept.decode("utf-8", "ignore"))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+            names = [f.split()[0] for f in OUT.split(", ")]
+            if texts:
+                columns.append(pa.array(left, pa.string()))
+                names.append("kept")
+                if block.carried:
+                    carried = pa.ipc.open_stream(block.carried).read_all()
+                    columns.extend(carried.columns)
+                    names.extend(carried.column_names)
+            out.append(pa.Table.from_arrays(columns, names=names))
+        return pa.concat_tables(out)
 
     return marked
 
 
-def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = True, buckets: int | None = None, hot: int = HOT_ANCHOR) -> DataFrame:
     """Remove each byte that a 50-byte string covers which also starts in a document with a smaller doc_id.
 
-    ``docs`` has doc_id and text, and may have a string column ``carried``; others are ignored. Strings lie within one
-    document and are judged on the input. Null texts count as empty. Rows with one doc_id, repeated rows too, do not
-    remove from each other. A null doc_id is no smaller one and loses nothing. Returns a row for each row: doc_id,
-    n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes) and, if ``texts``, kept
-    (their text without what is left of cut characters) and carried.
+    ``docs`` has doc_id (a whole number) and text. Strings lie within one document and are judged on the input. Null
+    texts count as empty. Rows with one doc_id, repeated rows too, do not remove from each other. A null doc_id is no
+    smaller one and loses nothing. Returns a row for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
+    kept_sha256 (of the remaining bytes) and, if ``texts``, kept (their text without what is left of cut characters) and
+    each further column of ``docs`` as it is, named _c0, _c1, ... in order. ``buckets`` of anchors and the texts from
+    which an anchor is ``hot`` change no result.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", (F.coalesce("carried", F.lit("")) if "carried" in docs.columns else F.lit("")).alias("carried"))
-    blocks = blocks_table(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = max(8, -(-total * 3 // 40 // BUCKET_KEYS))
-    asked = blocks.select("block", "blob").mapInArrow(ask_anchors(buckets), "bucket int, block long, keys binary, twice binary")
-    answers = stage(asked.groupBy("bucket").applyInPandas(answer_anchors, "bucket int, block long, answer binary"), "anchors")
-    around = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(ask_regions(buckets), "bucket int, block long, texts binary")
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")] if texts else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)])
+    carried = docs.drop("doc_id", "text").schema.fields
+    blocks, total = blocks_table(docs)
+    buckets = buckets or max(8, -(-total * 3 // 40 // BUCKET_KEYS))
+    asked = blocks.select("block", "blob").mapInArrow(ask_anchors(buckets), "bucket int, block long, keys binary, twice binary, often binary")
+    answers = stage(asked.groupBy("bucket").applyInPandas(answer_anchors(hot), "bucket int, block long, answer binary"), "anchors")
+    around = blocks.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(ask_regions(buckets), "bucket int, block long, texts binary")
     found = stage(around.groupBy("bucket").applyInPandas(answer_regions, "bucket int, block long, answer binary"), "strings")
     both = answers.withColumn("kind", F.lit(1)).union(found.withColumn("kind", F.lit(2)))
-    out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(mark_blocks(buckets, texts), OUT)
+    kinds = StructType([*StructType.fromDDL(OUT + (", kept string" if texts else "")).fields, *carried])
+    out = blocks.select("block", "blob").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(mark_blocks(buckets, texts), kinds)
     text, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
     nameless = docs.where("doc_id is null").select(
         "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"),
-        text.alias("kept") if texts else F.lit(None).cast("string").alias("kept"), F.col("carried") if texts else F.lit(None).cast("string").alias("carried"),
+        *([text.alias("kept"), *[f.name for f in carried]] if texts else []),
     )
-    out = out.unionByName(nameless)
-    return out if texts else out.drop("kept", "carried")
+    return out.unionByName(nameless)
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
@@ -475,12 +582,19 @@ def repeats_digest(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes, with their own columns, n_chars as of the text left. What is left of
-    cut characters goes too, and so does a document of which no text is left."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    carried = docs.select("doc_id", "text", F.to_json(F.struct(*others)).alias("carried") if others else F.lit("{}").alias("carried"))
-    out = remove_repeats(carried).where("n_removed = 0 or kept != ''")
-    out = out.withColumn("carried", F.from_json("carried", docs.select(*others).schema))
-    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col("carried").getField(c) for c in others}
-    if "n_chars" in others:
-        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    cut characters goes too, and so does a document of which no text is left. Null texts stay null; an empty table gives
+    none."""
+    names = {c: c.lower() for c in docs.columns}
+    others = [c for c in docs.columns if names[c] not in ("doc_id", "text")]
+    missing = f"_missing_{len(others)}"
+    out = remove_repeats(docs.withColumn(missing, F.col("text").isNull())).where("n_removed = 0 or kept != ''")
+    kind = {f.name: f.dataType for f in docs.schema.fields}
+    columns = {c: F.col(f"_c{i}") for i, c in enumerate(others)}
+    for c in docs.columns:
+        if names[c] == "doc_id":
+            columns[c] = F.col("doc_id").cast(kind[c])
+        elif names[c] == "text":
+            columns[c] = F.when(~F.col(f"_c{len(others)}"), F.col("kept"))
+        elif names[c] == "n_chars":
+            columns[c] = F.when(F.col("n_removed") > 0, F.length("kept").cast(kind[c])).otherwise(columns[c])
     return out.select(*[columns[c].alias(c) for c in docs.columns])

@@ -7,7 +7,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave.llm import ann, chat_format, common, langid, licenses, media, mixing, packing, queries, simhash, suffix_array, suffix_dedup, toxicity
 
@@ -156,6 +158,10 @@ def test_repeats_match_brute_force(spark, awkward):
         got = sorted((tuple(r) for r in suffix_dedup.repeats_digest(df).collect()), key=repr)
         assert got == brute_repeats(texts(df))
     assert suffix_dedup.repeats_digest(empty(spark)).count() == 0
+    for hot in (2, 30):  # anchors whose strings are dealt out one by one
+        assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(df, False, 5, hot).collect()), key=repr) == got
+    numbers = df.withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert sorted((tuple(r) for r in suffix_dedup.repeats_digest(numbers).collect()), key=repr) == got
 
 
 def test_long_groups_sort_alone(monkeypatch):
@@ -166,11 +172,37 @@ def test_long_groups_sort_alone(monkeypatch):
     assert (together == suffix_dedup.earlier_strings(texts_around, ids, number)).all() and together.any()
 
 
+def test_texts_of_one_hash_are_told_apart_by_bytes(monkeypatch):
+    """With a text hash that is always equal, the bytes and the suffix order alone decide."""
+    monkeypatch.setattr(suffix_dedup, "text_hashes", lambda block, spans: np.zeros(len(spans.first), dtype=np.uint64))
+    rng = random.Random(5)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    data = [(body[:300] + "x" * i + body[200:]).encode() for i in range(6)] + [body[100:].encode()]
+    expected = brute_repeats([(i, d.decode()) for i, d in enumerate(data)])
+    block = suffix_dedup.unpack_block(suffix_dedup.pack_block(list(range(7)), data, b""))
+    keys, twice, times, _ = suffix_dedup.distinct_hashes(block, 1)
+    five = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+    row = pd.DataFrame({"bucket": [0], "block": [0], "keys": [five.tobytes()], "twice": [np.packbits(twice).tobytes()], "often": [b""]})
+    asked = suffix_dedup.answer_anchors(1 << 30)(row)
+    spans = suffix_dedup.shared_spans(block, asked, 1)
+    _, rows, _, text = suffix_dedup.regions(block, spans, 1)
+    sent = suffix_dedup._pack_regions(block, suffix_dedup.Spans(*(x[rows] for x in spans)), text)
+    found = suffix_dedup.answer_regions(pd.DataFrame({"bucket": [0], "block": [0], "texts": [sent]}))
+    gone = suffix_dedup.covered_bytes(block, asked, found, 1)
+    assert [int(gone[a : a + n].sum()) for a, n in zip(block.starts, block.sizes, strict=True)] == [r[2] for r in expected]
+
+
 def test_dropping_repeats_keeps_columns(spark, awkward):
     out = suffix_dedup.drop_repeats(awkward)
     assert out.columns == awkward.columns and out.dtypes == awkward.dtypes
     kept = {r.doc_id: r for r in out.collect()}
     assert 12 not in kept and kept[4].text == " Der Rest ist anders." and kept[4].n_chars == len(kept[4].text) and kept[4].carried == 7
+    assert kept[2].text is None and kept[3].text == ""
+    odd = awkward.selectExpr("cast(doc_id as int) doc_id", "text", "timestamp'2024-01-02 03:04:05.678901' at", "map('a', 1.5D) m", "cast(null as string) kept", "array(1, null) n_removed", "X'00ff' `_c0`", "1L block")
+    out = suffix_dedup.drop_repeats(odd)
+    assert out.dtypes == odd.dtypes
+    same = {tuple(map(repr, r[2:])) for r in odd.collect()}
+    assert {tuple(map(repr, r[2:])) for r in out.collect()} == same and len(same) == 1
 
 
 # Mixing
