@@ -79,6 +79,11 @@ def small_side(table: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def spared(docs: DataFrame, taken: set[str]) -> DataFrame:
+    """``docs`` with columns that are named like one in ``taken`` under other names, in the same places."""
+    return docs.toDF(*[f"_{i}_{c}" if c.lower() in taken else c for i, c in enumerate(docs.columns)])
+
+
 def first_by_hash(rows: DataFrame, group: str, key: str, limit, parts: int = 16) -> DataFrame:
     """The first ``limit`` (a number or column) rows of each group by hash of ``key``, ties by key.
 

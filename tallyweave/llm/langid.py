@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import first_by_hash
+from .common import first_by_hash, stage
 
 DIMS = 4096
 FIT_ROWS = 400  # labelled documents for each language that centroids are fitted on, the first by hash of doc_id
@@ -73,7 +73,8 @@ def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k:
     of at most ``fit_rows`` for each language, chosen by hash of doc_id. Returns idf, langs, centroids and each centroid's usual cosines by text size (``usual``)."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = first_by_hash(known.select("doc_id", "lang"), "lang", "doc_id", fit_rows).select(F.col("doc_id").alias("_id")).distinct()
-    sample = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("lang", "text")  # fit_rows for a language
+    sample = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("lang", "text")
+    sample = stage(sample, "sample")  # fit_rows documents for a language
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, dtype=np.int64), 0

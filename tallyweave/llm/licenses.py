@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spared
+
 # Rules are regular expressions over lower-case words with single spaces between them; they start and end at words.
 # Names of licenses by label: the first is the SPDX-like identifier in words, the others are names in running text.
 NAMES = {
@@ -116,6 +118,7 @@ TEXTS = {
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 # A text without any of these can match no rule.
 GATES = ("licen", "copyright", "spdx", "gpl", "warrant", "domain", "creative", "permission", "redistribut", "reserved", "wtfpl", "proprietary", "prohibited")
+ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 CONFIDENCE = {1: 0.6, 2: 0.8, 3: 0.95}
 WORD, GAP = r"[\p{Alnum}\x{80}-\x{10FFFF}]+", r"[^\p{Alnum}\x{80}-\x{10FFFF}]+"  # p{Alnum}: ASCII only
 
@@ -161,22 +164,15 @@ def _spaces(text: Column) -> Column:
 
 
 def _places(words: Column, pattern: Column) -> Column:
-    """Places of a regex in normalised words: array of (start, end), counted in words, end exclusive."""
-    found = F.regexp_extract_all(words, pattern, F.lit(0))
-    steps = F.zip_with(
-        F.slice(F.split(words, pattern), F.lit(1), F.size(found)), found,
-        lambda gap, hit: F.struct(_spaces(gap).alias("gap"), _spaces(hit).alias("hit")),
-    )
+    """Places of a regex in normalised words: array of (start, end), counted in words, end exclusive. Matches are marked in
+    the text and the marks found again among its words, so the work is in proportion to the text however many there are."""
+    marked = F.regexp_replace(words, pattern, F.lit("\x01$0\x02"))
+    parts = F.split(marked, F.lit(" "))
+    at = lambda sign, lag: F.array_compact(F.transform(parts, lambda w, i: F.when(sign(w), i + lag)))
+    starts = at(lambda w: F.startswith(w, F.lit("\x01")), -1)  # a space stands before the first word
+    ends = at(lambda w: F.endswith(w, F.lit("\x02")), 0)
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc.at + x.gap + x.hit).alias("at"),
-            F.array_append(acc.out, F.struct((acc.at + x.gap - 1).alias("start"), (acc.at + x.gap + x.hit).alias("end"))).alias("out"),
-        ),
-    )
-    return walk.getField("out")
+    return F.when(marked == words, empty).otherwise(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -186,8 +182,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. Of rules whose keyword occurs, all places
     count; one that lies within a place of a rule of higher priority, or within a longer one of the same priority, is
     suppressed. ``labels`` are those of the remaining places and of all base phrases, distinct, sorted and joined by
-    commas. Null and empty texts have no words and no label; repeated rows are scanned alike.
+    commas. Null and empty texts have no words and no label; repeated rows are scanned alike. Columns named like added ones
+    are replaced; an empty table gives none.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    names, docs = docs.columns, spared(docs, {"_lower", "_words", "_sorted", "_found", "_base", "_kept"})
     text = F.coalesce(F.col("text"), F.lit(""))
     lower = docs.withColumn("_lower", F.lower(text))
     gate = F.lit(False)
@@ -215,7 +214,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    rows = rows.withColumn("_found", F.when(words.isNotNull(), F.array_sort(F.array_distinct(found))))
+    rows = rows.withColumn("_sorted", F.when(words.isNotNull(), F.array_sort(found)))
+    rows = rows.withColumn("_found", F.filter("_sorted", lambda x, i: (i == 0) | (x != F.get("_sorted", F.greatest(i - 1, F.lit(0))))))
     rows = rows.withColumns({
         "n_base": n_base,
         "first_word": F.when(n_base > 0, first).cast("long"),
@@ -227,13 +227,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     for priority, confidence in sorted(CONFIDENCE.items()):
         score = F.when(F.col("_kept.priority") == priority, confidence).otherwise(score)
     return rows.select(
-        *docs.columns, "n_words", "n_base", "first_word", "last_word",
+        *[F.col(f"`{c}`") for c in docs.columns], "n_words", "n_base", "first_word", "last_word",
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("_base", F.coalesce(F.col("_kept.labels"), F.array().cast("array<string>"))))), ",").alias("labels"),
         F.greatest(score, F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
         F.transform(F.coalesce("_found", F.array().cast("array<struct<start:int,back:int,rank:int,label:string>>")),
                     lambda x: F.struct(x.label.alias("label"), (-x.rank).alias("priority"), x.start.alias("start"), (-x.back).alias("end"))).alias("detections"),
-    )
+    ).toDF(*names, *ADDED)
 
 
 def _unsuppressed(found: Column) -> Column:

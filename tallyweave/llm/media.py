@@ -10,6 +10,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stage
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17  # format tags
 RATE = 8000
@@ -138,14 +141,18 @@ def expand_audio(media: DataFrame, rate: int = 16000) -> DataFrame:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Texts as audio: (doc_id, text) to (id, media), UTF-8 bytes padded with zeros to a positive multiple of 64 and
-    kept as the 8-bit samples of a mu-law WAV file. Null texts count as empty; equal texts give equal files."""
+    """Texts as audio: (doc_id, text) to (id, n_bytes, media), UTF-8 bytes (n_bytes of them) padded with zeros to a positive
+    multiple of 64 and kept as the 8-bit samples of a mu-law WAV file. Null texts count as empty; equal texts give equal
+    files; a null id stays null; an empty table gives none."""
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wav(MULAW, padded(t.as_py())) for t in batch.column(1)], pa.binary())], names=["id", "media"])
+            for at in range(0, batch.num_rows, 1000):
+                ids, texts = batch.column(0).slice(at, 1000), [t.as_py() or "" for t in batch.column(1).slice(at, 1000)]
+                sizes = pa.array([len(t.encode("utf-8")) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, sizes, pa.array([wav(MULAW, padded(t)) for t in texts], pa.binary())], names=["id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(stored, "id long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stored, "id long, n_bytes long, media binary")
 
 
 def padded(text: str | None) -> bytes:
@@ -155,7 +162,7 @@ def padded(text: str | None) -> bytes:
 
 def features(payloads: list[bytes]) -> list[str]:
     """Levels of each payload (a multiple of 64 bytes) under the three codecs, zero crossings, and the checksum of its
-    mu-law samples resampled from 8 to 16 kHz. ADPCM takes it as blocks of 64 bytes."""
+    mu-law samples as 16-bit PCM resampled from 8 to 16 kHz. ADPCM takes it as blocks of 64 bytes."""
     sizes = np.array([len(p) for p in payloads])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     raw = np.frombuffer(b"".join(payloads), dtype=np.uint8)
@@ -167,28 +174,27 @@ def features(payloads: list[bytes]) -> list[str]:
     follows = np.concatenate([mu[1:], mu[-1:]])
     follows[ends] = mu[ends]
     crossings = np.add.reduceat((mu < 0) != (follows < 0), starts, dtype=np.int64)
-    pcm = np.stack([mu, (mu + follows) >> 1], axis=1).astype("<i2").ravel()
+    pcm = [zlib.crc32(resample(decode(MULAW, p), RATE, 2 * RATE).astype("<i2").tobytes()) for p in payloads]
     levels = level(mu * mu, starts, sizes), level(a * a, starts, sizes), level(per_block, starts // UNIT, sizes // UNIT * blocks.shape[1])
     return [
-        f"mu={m};a={b};adpcm={c};crossings={z};pcm16k={zlib.crc32(pcm[2 * s : 2 * (s + n)].tobytes()):08x}"
-        for m, b, c, z, s, n in zip(*levels, crossings, starts, sizes, strict=True)
+        f"mu={m};a={b};adpcm={c};crossings={z};pcm16k={x:08x}"
+        for m, b, c, z, x in zip(*levels, crossings, pcm, strict=True)
     ]
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Store every text as audio, read the stored bytes back and describe them; see ``store_texts`` and ``features``."""
+    """Store every text as audio in the shared folder (``store_texts``), read the stored files back and describe them: what
+    their payload is, and ``features``. A row for each row; null texts count as empty."""
     names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         rows, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                media = wav(MULAW, padded(text))
+            for doc_id, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                media = media.as_py()
                 payload = read_wav(media)[3]
-                own = (doc_id, len(text.encode("utf-8")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest())
-                rows.append((own, payload))
+                rows.append(((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()), payload))
                 size += len(payload)
                 if size >= SLICE:
                     yield rows
@@ -201,6 +207,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
             columns = [*zip(*(r for r, _ in rows), strict=True), features([p for _, p in rows])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
-    return docs.select("doc_id", "text").mapInArrow(
+    stored = stage(store_texts(docs), "media")
+    return stored.mapInArrow(
         digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import spared, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-SALTS = 64
+SALTS, SALT_ROWS = 64, 20_000  # parts of the rows alike in source and size: at least so many, and about so many rows in each
 SEED = 7
 
 
@@ -37,7 +37,7 @@ def source_targets(sources: DataFrame, weights: list[float], max_epochs: float)
     return rows.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def plan_mixture(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: int = SEED, salts: int = SALTS) -> DataFrame:
+def plan_mixture(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: int = SEED, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Copies of each document for a mixture whose sources come near their targets.
 
     ``docs`` has doc_id, source, text; other columns are ignored. Returns doc_id, source, size (words), source_size,
@@ -47,12 +47,15 @@ def plan_mixture(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), max_ep
     a copy at each whole number that it passes, never over ``max_epochs``.
 
     No source is gathered: ranks are sums of counts by (source, size, salt of doc_id), and only rows alike in all
-    three are ordered in a task. Null text: size 0. Null source: a source of its own, last. Null doc_id: as any other
+    three are ordered in a task, about ``salt_rows`` of them. Null text: size 0. Null source: a source of its own, last. Null doc_id: as any other
     id. Repeated rows are documents of their own. Sources of size 0 and empty tables take nothing.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    salt = F.coalesce(F.pmod(F.col("doc_id") + F.shiftright("doc_id", 6) + F.shiftright("doc_id", 12), F.lit(salts)), F.lit(0)).cast("int")
-    rows = stage(docs.select("doc_id", "source", size.alias("size"), salt.alias("salt")), "sizes")
+    rows = stage(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    most = rows.groupBy("source", "size").count().agg(F.max("count")).first()[0] or 0
+    salts = max(SALTS, -(-most // salt_rows))
+    mixed = F.try_add(F.try_add(F.col("doc_id").cast("long"), F.shiftright("doc_id", 6)), F.shiftright("doc_id", 12))
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(mixed, F.lit(salts)), F.lit(0)).cast("int"))
     step = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
     groups = stage(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")).withColumn("step", step), "groups")
     # the rank before each group: groups in smaller steps of size, then earlier groups of the same step
@@ -89,22 +92,27 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mixture itself: each document as often as it was drawn, with its own columns."""
+    """The mixture itself: each document as often as it was drawn, with its own columns, whatever their names. Rows of one
+    doc_id share its copies evenly; an empty table gives none."""
+    names, docs = docs.columns, spared(docs, {"_id", "_copies", "_rows", "_k", "_copy"})
+    maps = [f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()]  # maps have no hash
     plan = plan_mixture(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
     # rows that share a doc_id share its copies: all but the first rows of a tie take the even part
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
+    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) if c in maps else F.col(f"`{c}`") for c in docs.columns]))
     out = out.withColumn("_k", F.when(F.col("_rows") > 1, F.row_number().over(same)).otherwise(F.lit(1)))
     each = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_k") <= F.col("_copies") % F.col("_rows")).cast("int")
     out = out.withColumn("_copy", F.explode(F.when(each > 0, F.sequence(F.lit(1), each.cast("int")))))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns]).toDF(*names)
 
 
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    coalesce((doc_id + (doc_id >> 6) + (doc_id >> 12)) % {SALTS}, 0) AS salt
+    doc_id + (doc_id >> 6) + (doc_id >> 12) AS mixed
   FROM documents),
+parts AS (
+  SELECT greatest({SALTS}, ceil(coalesce(max(n), 0) / {SALT_ROWS}))::BIGINT AS salts FROM (SELECT count(*) AS n FROM sized GROUP BY source, size)),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
@@ -122,8 +130,8 @@ targets AS (
 placed AS (
   SELECT doc_id, size, source_size, target, shift,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-    row_number() OVER (PARTITION BY s.source ORDER BY size, salt, doc_id NULLS FIRST) - 1 AS i
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+    row_number() OVER (PARTITION BY s.source ORDER BY size, coalesce(mixed % salts, 0), doc_id NULLS FIRST) - 1 AS i
+  FROM parts, sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (size * least(3, CASE WHEN size > 0 THEN floor((i + 1) * rate + shift) - floor(i * rate + shift) ELSE 0 END))::BIGINT AS taken
 FROM placed

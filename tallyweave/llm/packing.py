@@ -13,12 +13,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import small_batches, stage
+from .common import small_batches, spared, stage
 from .suffix_array import ragged
 
 CAPACITY = 2048
-SALTS = 64
+SALT_ROWS, SALTS = 20_000, 1024  # pieces of one length that a task ranks, and most parts that a length is cut in
 CACHE_WORDS = 700_000  # about 180 MB of a Python worker
 TEXT_BYTES = 4_000_000  # of texts that are encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -210,18 +211,26 @@ def plan_bins(counts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length, ...); other columns stay.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length, ...); other columns stay, but for columns of these two
+    names, which are replaced.
 
-    Only counts by (length, salt) go to the driver, capacity x salts rows at most whatever the input; ``plan_bins``
-    packs them. Each piece finds its place from its rank among pieces of its length, which is the number in earlier
-    salts plus its row number in its own: no length is gathered in one task. Lengths must lie in 1..capacity. Repeated
-    rows are pieces of their own; an empty table gives no rows.
+    A piece that fills a sequence takes a negative number of its own. Of the others, counts by (length, salt) go to the
+    driver, capacity x ``SALTS`` rows at most whatever the input; ``plan_bins`` packs them. Each piece finds its place from
+    its rank among pieces of its length, which is the number in earlier salts plus its row number in its own; there are as
+    many salts as leave a task about ``salt_rows`` pieces. Lengths must lie in 1..capacity. Repeated rows are pieces of
+    their own; an empty table gives no rows.
     """
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    found = pieces.groupBy("length", "_salt").count().collect()
+    pieces = pieces.drop("sequence_id", "offset")
+    names, pieces = pieces.columns, spared(pieces, {"_salt", "_rank"})
+    full = pieces.where(F.col("length") == capacity)
+    full = full.select(*[F.col(f"`{c}`") for c in pieces.columns], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < capacity)
+    most = rest.groupBy("length").count().agg(F.max("count")).first()[0] or 0
+    salts = int(min(SALTS, -(-most // salt_rows) or 1))
+    rest = rest.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     table = np.zeros((capacity + 1, salts), dtype=np.int64)
-    for length, salt, n in found:
+    for length, salt, n in rest.groupBy("length", "_salt").count().collect():
         table[length, salt] = n
     firsts = np.concatenate([[0], np.cumsum(table.ravel())[:-1]]).astype(np.int64)  # of each (length, salt), over all
     plan = sorted(plan_bins(table.sum(axis=1)))
@@ -229,20 +238,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     lengths, rank, _, each, first_bin, offset = (np.asarray(c, dtype=np.int64) for c in (zip(*plan, strict=True) if plan else [[]] * 6))
     starts = base[lengths] + rank if len(plan) else rank
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("_row", F.row_number().over(order))
-    names = [c for c in pieces.columns if c != "_salt"]
+    ranked = rest.withColumn("_rank", F.row_number().over(order))
+
+    inner = pieces.columns
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, salt, row = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "_salt", "_row"))
+            n, salt, row = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "_salt", "_rank"))
             rank = firsts[n * salts + salt] + row - 1
             at = np.searchsorted(starts, rank, "right") - 1
             behind = rank - starts[at]
-            out = [batch.column(c) for c in names] + [pa.array(first_bin[at] + behind // each[at]), pa.array(offset[at] + behind % each[at] * n)]
-            yield pa.RecordBatch.from_arrays(out, names=[*names, "sequence_id", "offset"])
+            out = [batch.column(i) for i in range(len(inner))] + [pa.array(first_bin[at] + behind // each[at]), pa.array(offset[at] + behind % each[at] * n)]
+            yield pa.RecordBatch.from_arrays(out, names=[*inner, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "_salt")
-    return ranked.mapInArrow(placed, f"{kinds}, sequence_id long, offset long")
+    kinds = StructType([*pieces.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
+    return full.unionAll(ranked.mapInArrow(placed, kinds)).toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -250,6 +260,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     ``docs`` has doc_id, text; other columns are ignored. Only documents longer than the capacity are cut. Null and
     empty texts are the end id alone; a null doc_id stays null; repeated rows are packed as often as they occur.
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset; an empty table gives none.
     """
     return pack(tokenized_pieces(docs, tokenizer_path, capacity), capacity)

@@ -425,7 +425,12 @@ def answer_regions(rows: pd.DataFrame) -> pd.DataFrame:
     lowest = np.minimum.reduceat(least[order], np.flatnonzero(new))
     group = h[first]  # sorted by anchor
     head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    bits = earlier_strings([data[starts[m] : starts[m] + size[m]] for m in first], lowest, np.diff(np.append(head, len(first))))
+    number = np.diff(np.append(head, len(first)))
+    several = number > 1  # a text alone is one range of equal strings: there is nothing to order it with
+    members = ragged(head[several], number[several])
+    bits = np.zeros(len(first), dtype=np.uint32)
+    if len(members):
+        bits[members] = earlier_strings([data[starts[m] : starts[m] + size[m]] for m in first[members]], lowest[members], number[several])
     answer = np.empty(len(h), dtype=[("doc", "<i8"), ("bits", "<u4")])
     answer["doc"], answer["bits"] = lowest[own], bits[own]
     cuts = np.cumsum([len(p[0]) for p in parts])[:-1]

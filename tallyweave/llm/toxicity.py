@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import first_by_hash
+from .common import first_by_hash, stage
 
 # Characters that stand for a Latin letter, as homoglyphs or by digit substitution.
 HOMOGLYPHS = {
@@ -91,7 +91,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, max_toxic: int = FIT
     known = known.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
     known = known.where(F.col("_n") <= F.when(F.col("toxic") == 1, max_toxic).otherwise(max_clean))
     known = known.select(F.col("doc_id").alias("_id"), (F.col("toxic") == 1).alias("toxic"))
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("toxic", "text")  # max_toxic + max_clean rows
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("toxic", "text")
+    sample = stage(sample, "sample")  # max_toxic + max_clean documents
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {True: Counter(), False: Counter()}
@@ -155,7 +156,7 @@ def score_toxicity(docs: DataFrame, model: dict, exceptions: tuple[str, ...] = E
             x = np.asarray([measure(t.as_py() or "", found) for t in batch.column(1)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(slope * (x - cut), -50, 50))))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

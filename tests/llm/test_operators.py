@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -98,6 +99,13 @@ def test_packing_places_all_pieces_without_gaps(spark, awkward):
             at += length
         assert at <= 2048
     assert packing.pack_documents(empty(spark), queries.tokenizer_path()).count() == 0
+    rows = [(i, 0, [7, 100, 100, 33, 60][i % 5], "x", 1.5, i) for i in range(200)]
+    odd = spark.createDataFrame(rows, "doc_id int, piece int, length long, offset string, _salt double, _rank int")
+    out = packing.pack(odd, 100, salt_rows=10)
+    assert out.columns == ["doc_id", "piece", "length", "_salt", "_rank", "sequence_id", "offset"]
+    places = sorted((r.sequence_id, r.offset, r.length) for r in out.collect())
+    assert len(places) == 200 and len({p[:2] for p in places}) == 200
+    assert all(b == (a[0], a[1] + a[2], b[2]) or b[1] == 0 and b[0] > a[0] for a, b in zip(places, places[1:], strict=False))
 
 
 def test_bins_of_random_lengths_are_full_and_few():
@@ -238,6 +246,9 @@ def test_mixture_comes_near_its_targets(spark, awkward):
         for s in size:
             assert target[s] == pytest.approx(level[s]) and abs(taken[s] - target[s]) <= 2 * most[s]
     assert mixing.mix_digest(empty(spark)).count() == 0
+    assert sorted(map(repr, mixing.mix_digest(awkward).collect())) == sorted(map(repr, mixing.mix_digest(awkward.withColumn("doc_id", F.col("doc_id").cast("int"))).collect()))
+    odd = awkward.selectExpr("doc_id", "text", "source", "map(1, 2) m", "1 _rows", "'a' _id", "2 _copy")
+    assert mixing.mix_documents(odd).dtypes == odd.dtypes and mixing.mix_documents(odd).count() == mixing.mix_documents(awkward).count()
     mixed = mixing.mix_documents(awkward)
     assert mixed.columns == awkward.columns and mixed.count() == sum(r.copies for r in out)
 
@@ -292,11 +303,55 @@ def test_license_rules_suppress_contained_places(spark, awkward):
     assert (out[3].base_labels, out[3].n_base, out[3].first_word, out[3].last_word) == ("gpl", 2, 1, 7)
     assert (out[4].labels, out[4].n_base, out[4].n_words) == ("", 0, 4)
     assert len(licenses.rules()) > 200
+    odd = licenses.scan_licenses(docs(spark, rows).selectExpr("doc_id", "text", "1.5 score", "'q' labels", "7 _found", "8 `a.b`"))
+    assert odd.columns == ["doc_id", "text", "_found", "a.b", *licenses.ADDED] and {r.labels for r in odd.collect()} == {r.labels for r in out.values()}
     more = licenses.license_digest(awkward)
     assert more.count() == awkward.count() and more.where("doc_id = 2 and n_words = 0 and labels = '' and score = 0").count() == 1
     assert licenses.license_digest(empty(spark)).count() == 0
 
 
+def brute_places(text):
+    """(word, label) of each base phrase among a text's words."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    phrases = {tuple(p.split()): label for label, p in licenses.BASE.items()}
+    return words, [(i, label) for i in range(len(words)) for p, label in phrases.items() if tuple(words[i : i + len(p)]) == p]
+
+
+def brute_detections(text):
+    """All places of all rules by Python's regular expressions, and what containment leaves of them."""
+    joined = " " + " ".join(brute_places(text)[0]) + " "
+    found = set()
+    for label, _, priority, pattern in licenses.rules():
+        for m in re.finditer(f"(?<= )(?:{pattern})(?= )", joined):
+            start = joined.count(" ", 0, m.start()) - 1
+            found.add((start, start + m[0].count(" ") + 1, priority, label))
+    inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (y[2] > x[2] or y[2] == x[2] and y[1] - y[0] > x[1] - x[0])
+    return found, {x for x in found if not any(inside(x, y) for y in found)}
+
+
+def test_licenses_match_brute_force(spark):
+    rng = random.Random(12)
+    bits = ["MIT License", "Apache License", "version 2.0", "General Public License", "GNU", "licensed under the", "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier:", "GPL-3.0-only",
+            "All rights reserved", "Copyright (c) 2019 - 2021", "public domain", "is in the public domain", "without warranty of any kind", "BSD 3-Clause License", "Creative Commons Attribution 4.0", "foo", "é", "v2", "lesser"]
+    rows = [(i, rng.choice([" ", "\n", " - "]).join(rng.choices(bits, k=rng.randint(0, 14))), "en", "a") for i in range(120)]
+    seen = 0
+    for r in licenses.scan_licenses(docs(spark, rows)).collect():
+        words, places = brute_places(r.text)
+        found, kept = brute_detections(r.text)
+        starts, base = [i for i, _ in places], sorted({label for _, label in places})
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(base)) and (r.first_word, r.last_word) == (min(starts, default=None), max(starts, default=None))
+        assert {(d.start, d.end, d.priority, d.label) for d in r.detections} == found and len(r.detections) == len(found)
+        assert r.labels == ",".join(sorted({x[3] for x in kept} | set(base)))
+        seen += len(found)
+    assert seen > 300
+
+
+def test_many_places_take_time_in_proportion(spark):
+    text = docs(spark, [(1, "mit license " * 40_000, "en", "a")])
+    out = licenses.license_digest(text).first()
+    assert (out.n_base, out.first_word, out.last_word, out.labels) == (40_000, 0, 79_998, "mit")
+
+
 # Media
 
 
