@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import first_by_hash, stage
+from .common import first_by_hash, small_batches, stage
 
 DIMS = 4096
 FIT_ROWS = 400  # labelled documents for each language that centroids are fitted on, the first by hash of doc_id
@@ -74,7 +74,8 @@ def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k:
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = first_by_hash(known.select("doc_id", "lang"), "lang", "doc_id", fit_rows).select(F.col("doc_id").alias("_id")).distinct()
     sample = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("lang", "text")
-    sample = stage(sample, "sample")  # fit_rows documents for a language
+    with small_batches(docs.sparkSession):
+        sample = stage(sample, "sample")  # fit_rows documents for a language
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, dtype=np.int64), 0
@@ -85,7 +86,8 @@ def fit_languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, k:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["dim", "n"])
 
-    found = known.select("lang", "text").mapInArrow(frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    with small_batches(docs.sparkSession):
+        found = known.select("lang", "text").mapInArrow(frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIMS + 1)
     for dim, n in found:
         df[dim] = n
@@ -159,10 +161,13 @@ def language_digest(docs: DataFrame) -> DataFrame:
     train = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     model = fit_languages(docs, train)
     out = identify_languages(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out(out).alias("held_out"), "lang_pred", "score", "rejected")
+    with small_batches(docs.sparkSession):
+        return stage(out.select("doc_id", held_out(out).alias("held_out"), "lang_pred", "score", "rejected"), "languages")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is recognised, with their own columns."""
     model = fit_languages(docs, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    return identify_languages(docs, model, added=("_tw_lang", "_tw_score", "_tw_rejected")).where("not _tw_rejected").select(*docs.columns)
+    found = identify_languages(docs, model, added=("_tw_lang", "_tw_score", "_tw_rejected")).where("not _tw_rejected")
+    with small_batches(docs.sparkSession):
+        return stage(found.select(*[F.col(f"`{c}`") for c in docs.columns]), "identified")
