@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_staged: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
@@ -50,9 +53,23 @@ def staged_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver exits."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
     atexit.register(_remove_at_exit, spark, path)
+    _staged.append(path)
     return path
 
 
+def staged() -> list[str]:
+    """The paths of all staged tables that have not been discarded."""
+    return list(_staged)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables from which nothing is going to be read any more."""
+    for path in paths:
+        if path in _staged:
+            _staged.remove(path)
+            remove(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
