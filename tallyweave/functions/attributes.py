@@ -56,7 +56,7 @@ def _specs(text: Column, hint: Column | None) -> Column:
     return F.struct(
         *fields, *ranges, F.try_element_at(cm, F.lit(1)).alias("cm"),
         sorted_set(F.concat(mm, F.transform(cm, lambda v: v * 10))).alias("mm"),
-        sorted_set(F.transform(dims, lambda d: d.cast("long"))).alias("dims"),
+        sorted_set(F.array_compact(F.transform(dims, lambda d: d.try_cast("long")))).alias("dims"),
         sorted_set(F.transform(numbers, lambda n: n.cast("int"))).alias("numbers"),
         (hint.getField("density_hint") if hint is not None else F.lit(None).cast("double")).alias("density_hint"),
         (hint.getField("watt_hint") if hint is not None else F.lit(None).cast("double")).alias("watt_hint"),

@@ -42,7 +42,7 @@ def spec_verdict(stock: Column, price: Column) -> Column:
         comparable.append(_flag(both))
         agreed.append(_flag(both & spec_equal(name, stock, price)))
         alone = left.isNotNull() & right.isNull()
-        number = F.array_contains(price.getField("numbers"), left.cast("int"))
+        number = F.array_contains(price.getField("numbers"), left.try_cast("int"))
         soft.append(_flag(alone & (hint.isNotNull() | number)))
         soft_agreed.append(_flag(alone & F.when(hint.isNotNull(), F.abs(left - hint) < EPSILON).otherwise(number)))
     for name in SOFT:
@@ -59,12 +59,8 @@ def spec_verdict(stock: Column, price: Column) -> Column:
     )
 
 
-def code_score(codes: Column, key: Column, family: Column, best_ratio: Column) -> Column:
-    """100 for an equal code, 88 for a prefix either way, 78 for a family, else half the best ratio; -1 without codes.
-
-    ``best_ratio`` is the best ratio of any code; where a code has a better rule, that rule's score is higher anyway
-    unless the ratio is over it, which half a ratio never is.
-    """
+def ruled_code(codes: Column, key: Column, family: Column) -> Column:
+    """The best of the codes by rules alone: 100, 88, 78, or 0 where only a ratio could tell."""
 
     def one(code: Column) -> Column:
         own = F.regexp_extract(code, "^[A-Z]+", 0)
@@ -73,7 +69,17 @@ def code_score(codes: Column, key: Column, family: Column, best_ratio: Column) -
             .when((F.length(own) >= 3) & (own == family), 78.0).otherwise(0.0)
         )
 
-    ruled = F.array_max(F.transform(codes, one))
+    return F.array_max(F.transform(codes, one))
+
+
+def code_score(codes: Column, key: Column, family: Column, best_ratio: Column) -> Column:
+    """100 for an equal code, 88 for a prefix either way, 78 for a family, else half the best ratio; -1 without codes.
+
+    ``best_ratio`` is the best ratio of any code; where a code has a better rule, that rule's score is higher anyway
+    unless the ratio is over it, which half a ratio never is.
+    """
+
+    ruled = ruled_code(codes, key, family)
     return F.when((F.size(codes) == 0) | (key == ""), -1.0).otherwise(F.greatest(ruled, 0.5 * best_ratio))
 
 

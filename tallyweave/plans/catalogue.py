@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attributes, numbers, similarity, text
+from ..functions import vocabulary as V
 from ..operators import candidates, clean, decide, layout, merge, results, score
 from ..sources.config import load_config
 from . import resolve
@@ -27,6 +28,13 @@ NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}
 GLUE = r"regexp_replace(regexp_replace({0}, '([a-z])[\s\-_/]+([0-9])', '\1\2', 'g'), '([0-9])[\s\-_/]+([a-z])', '\1\2', 'g')"
 
 
+# Fixed values of the vocabulary as nested SQL functions.
+GLYPHS_SQL = "translate({{0}}, '{}', '{}')".format("".join(k for k, v in V.GLYPHS.items() if len(k) == len(v) == 1), "".join(v for k, v in V.GLYPHS.items() if len(k) == len(v) == 1))
+GLYPH_NAME = "translate(p_name, 'abcd', '{}')".format("".join(list(V.GLYPHS)[:4]))
+_ONE = {k: v for k, v in V.LETTERS.items() if len(k) == 1}
+LETTERS_SQL = "regexp_replace(translate({{0}}, '{}', '{}'), '{}', '', 'g')".format("".join([k for k, v in _ONE.items() if v] + [k for k, v in _ONE.items() if not v]), "".join(v for v in _ONE.values() if v), V.MARKS)
+
+
 def norm_sql(column: str) -> str:
     return GLUE.format(NORM.format(column))
 
@@ -420,6 +428,98 @@ def batch_summary(spark, d):
     return merge.batch_summary(merge.merge_lists(_listed(spark, d)), _lists(spark, d))
 
 
+# Text of scripts: names of parts spelt with Persian letters, digits and broken glyphs
+
+
+PLAIN, ODD = "abcdefgh", "يكةىأ٣۷ۀ"
+ODD_SQL = f"translate(p_name, '{PLAIN}', '{ODD}')"
+
+
+def _odd(spark, d) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_type", F.translate("p_name", PLAIN, ODD).alias("odd"))
+
+
+@query(f"SELECT p_partkey, translate({ODD_SQL}, '{''.join(chr(0x06F0 + i) for i in range(10))}{''.join(chr(0x0660 + i) for i in range(10))}', '01234567890123456789') AS digits FROM part")
+def script_digits(spark, d):
+    return _odd(spark, d).select("p_partkey", text.ascii_digits(F.col("odd")).alias("digits"))
+
+
+@query(f"SELECT p_partkey, {LETTERS_SQL.format(ODD_SQL)} AS letters FROM part")
+def script_letters(spark, d):
+    return _odd(spark, d).select("p_partkey", text.unify_letters(F.col("odd")).alias("letters"))
+
+
+@query(f"SELECT p_partkey, {GLYPHS_SQL.format(GLYPH_NAME)} AS repaired, {GLYPHS_SQL.format(GLYPH_NAME)} AS plain FROM part")
+def broken_glyphs(spark, d):
+    """Names whose first letters are glyphs of a broken font; no other compatibility form occurs in them."""
+    name = F.translate("p_name", "abcd", "".join(list(V.GLYPHS)[:4]))
+    return table(spark, d, "part").select("p_partkey", text.fix_glyphs(name).alias("repaired"), text.plain_shapes(name).alias("plain"))
+
+
+@query(r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace('لامپ' || p_type || p_size || 'وات' || p_name, '([\x{0600}-\x{06ff}])([A-Za-z0-9])', '\1 \2', 'g'),
+  '([A-Za-z0-9])([\x{0600}-\x{06ff}])', '\1 \2', 'g'), '\s+', ' ', 'g')) AS split FROM part""")
+def split_names(spark, d):
+    glued = F.concat(F.lit("لامپ"), "p_type", F.col("p_size").cast("string"), F.lit("وات"), "p_name")
+    return table(spark, d, "part").select("p_partkey", text.split_scripts(glued).alias("split"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 'parsec' WHEN 2 THEN 'm' ELSE '' END AS unit FROM part""")
+def unit_names(spark, d):
+    known = {unit: names[0] for unit, names in V.UNIT_NAMES.items()}
+    given = F.when(F.col("p_partkey") % 4 == 0, known["kg"]).when(F.col("p_partkey") % 4 == 1, " Parsec ").when(F.col("p_partkey") % 4 == 2, known["m"]).otherwise("")
+    return table(spark, d, "part").select("p_partkey", text.unit_name(given).alias("unit"))
+
+
+@query("""SELECT p_partkey, p_size::VARCHAR || '|' || (p_size * 1000)::VARCHAR || '|' || (p_size + 0.5)::VARCHAR AS numbers,
+  CASE WHEN p_size * 1000 BETWEEN 5000 AND 30000 THEN p_size * 1000.0::DOUBLE END AS price, (p_size + 0.5)::DOUBLE AS stock FROM part""")
+def number_lists(spark, d):
+    """All numbers of a text, a price within limits, a stock."""
+    size = F.col("p_size").cast("string")
+    given = F.concat(F.lit("x "), size, F.lit(" y "), size, F.lit(",000 z "), size, F.lit(".5"))
+    shown = F.array_join(F.transform(numbers.find_numbers(given), lambda v: F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))), "|")
+    return table(spark, d, "part").select(
+        "p_partkey", shown.alias("numbers"), numbers.parse_price(F.concat(size, F.lit(",000")), 5000.0, 30000.0).alias("price"), numbers.parse_stock(F.concat(size, F.lit(".5 pcs"))).alias("stock"))
+
+
+@query("""SELECT p_partkey, concat_ws(' | ', nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN '  ' ELSE p_type END), ''), nullif(trim(CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END), '')) AS label FROM part""")
+def price_labels(spark, d):
+    section, name = F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_type")), F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", text.price_label(section, name).alias("label"))
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_partkey % 4 = 0 THEN 40.0 ELSE least(100, 0.75 * 100 * pow((p_partkey % 7 + 1) / 8.0, 0.6) + 0.25 * p_size) END, 6) AS words,
+  CASE WHEN p_type LIKE 'A%' THEN 4.0::DOUBLE ELSE -4.0::DOUBLE END AS brand FROM part""")
+def text_and_brand_scores(spark, d):
+    """The text score by coverage and overlap, or its fallback; the brand's bonus or malus."""
+    known = F.when(F.col("p_partkey") % 4 != 0, F.lit(8.0))
+    words = score.text_score((F.col("p_partkey") % 7 + 1).cast("double"), known, F.col("p_size").cast("double"), F.lit(40.0), 0.6)
+    return table(spark, d, "part").select("p_partkey", F.round(words, 6).alias("words"), score.brand_delta(F.lit("own"), F.col("p_type"), {"own": ["A"]}, 4.0).alias("brand"))
+
+
+@query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN -1.0 WHEN 1 THEN 88.0 ELSE 100.0 END::DOUBLE AS code, p_size * 2.0::DOUBLE AS words,
+    CASE p_partkey % 4 WHEN 0 THEN -1.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS ratio, (p_partkey % 5 = 0)::INT AS conflicts, p_partkey % 2 = 0 AS hard FROM part),
+  w AS (SELECT *, CASE WHEN ratio >= 0 THEN ratio * 100 WHEN hard THEN 55.0 END AS spec FROM s),
+  v AS (SELECT *, (CASE WHEN code >= 0 THEN code * 0.45 ELSE 0 END + coalesce(spec * 0.25, 0) + words * 0.30) / (CASE WHEN code >= 0 THEN 0.45 ELSE 0 END + CASE WHEN spec IS NOT NULL THEN 0.25 ELSE 0 END + 0.30) + 4.0 AS value FROM w)
+  SELECT p_partkey, round(greatest(0, least(100, CASE WHEN conflicts > 0 THEN value * 0.35 WHEN code >= 100 THEN 100 ELSE value END))::DOUBLE, 6) AS score,
+    CASE WHEN code >= 100 AND conflicts = 0 THEN 'exact_code' WHEN code > 0 THEN 'code_spec' ELSE 'text' END AS kind FROM v""")
+def total_scores(spark, d):
+    """The weighted mean of the parts there are, the veto, the override of an equal code, and the kind of match."""
+    key = F.col("p_partkey")
+    code = F.when(key % 3 == 0, -1.0).when(key % 3 == 1, 88.0).otherwise(100.0)
+    verdict = F.struct(F.when(key % 4 == 0, -1.0).when(key % 4 == 1, 0.5).otherwise(1.0).alias("ratio"), F.lit(1).alias("comparable"), (key % 5 == 0).cast("int").alias("conflicts"))
+    rows = table(spark, d, "part").select(key, code.alias("code"), (F.col("p_size") * 2.0).alias("words"), verdict.alias("verdict"))
+    total = score.total_score(F.col("code"), F.col("words"), F.col("verdict"), key % 2 == 0, F.lit(4.0), CFG)
+    return rows.select(key, F.round(total, 6).alias("score"), score.match_kind(F.col("code"), F.col("verdict.conflicts")).alias("kind"))
+
+
+@query("""SELECT c_custkey AS item_id FROM customer WHERE c_acctbal > 0""")
+def only_priced(spark, d):
+    """Rows with a price, as an export takes them."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("name"), F.lit(1.0).alias("stock"),
+                                              F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("price"), F.lit("HIGH").alias("status"), F.lit("a").alias("source"))
+    return results.export_rows(rows, "", True).select("item_id")
+
+
 # Page layout
 
 
@@ -440,7 +540,11 @@ def zip_columns(spark, d):
     return left.join(right, ["user_id", "n", "c"]).select("user_id", "code_row", "price_row")
 
 
-@query()
+@query("""WITH RECURSIVE sorted AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS n FROM events),
+  walked AS (SELECT user_id, n, value, value AS anchor, 0 AS "group" FROM sorted WHERE n = 1
+    UNION ALL SELECT s.user_id, s.n, s.value, CASE WHEN abs(s.value - w.anchor) <= 3.5 THEN w.anchor ELSE s.value END,
+      CASE WHEN abs(s.value - w.anchor) <= 3.5 THEN w."group" ELSE w."group" + 1 END FROM walked w JOIN sorted s ON s.user_id = w.user_id AND s.n = w.n + 1)
+  SELECT user_id, value, "group" FROM walked""")
 def anchor_groups(spark, d):
     return layout.anchor_rows(table(spark, d, "events"), ["user_id"], "value", 3.5)
 

@@ -7,7 +7,6 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from ..sources import pages
 from ..sources.config import AppError
 from .session import Engine
 
@@ -24,11 +23,11 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     try:
         engine = Engine(spark, path=given.config)
-        for kind, read in (("words", pages.read_words), ("pdf", pages.read_pdf_words)):
+        for kind in ("words", "pdf"):
             for spec in getattr(given, kind):
                 path, _, brand = spec.rpartition(":")
                 path, brand = (path, brand) if path and "/" not in brand else (spec, "")
-                engine.add_words(read(spark, path), brand or path, brand)
+                engine.add_path(path, brand, kind)
         engine.read_inventory(given.inventory)
         engine.run()
         print(engine.stats)

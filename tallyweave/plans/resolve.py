@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity
 from ..functions import vocabulary as V
-from ..functions.text import py_dense
+from ..functions.text import price_label, py_dense
 from ..operators import candidates as C
 from ..operators import merge, score
 from ..operators.decide import decide
@@ -48,11 +48,14 @@ def resolve(items: DataFrame, prices: DataFrame, cfg: dict, brands: DataFrame |
     wide = pairs.join(found, ["list_ord", "item_id", "price_id"], "left").join(total, ["list_ord", "item_id"], "left").join(left, "item_id").join(right, ["list_ord", "price_id"])
     # few rows for their work: as many tasks as shuffles have, and the key that the decision needs
     wide = wide.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "list_ord", "item_id")
+    # kernels get null where a rule or a known word decides: a condition around them would not spare their work
+    by_rule = score.ruled_code(F.col("codes"), F.col("code_key"), F.col("family")) >= 78.0
+    known = F.coalesce(F.col("total"), F.lit(0.0)) > 0
     wide = wide.withColumns({
         "found": F.coalesce("found", F.lit(0.0)),
         "overlap": similarity.partial_ratio(F.col("dense_expanded"), F.col("packed")),
-        "code_ratio": similarity.best_code_ratio(F.col("codes"), F.col("code_key")),
-        "fallback": similarity.token_set_ratio(F.col("name_key"), F.col("context")),
+        "code_ratio": similarity.best_code_ratio(F.when(~by_rule, F.col("codes")), F.col("code_key")),
+        "fallback": similarity.token_set_ratio(F.when(~known, F.col("name_key")), F.when(~known, F.col("context"))),
         "verdict": score.spec_verdict(F.col("stock_specs"), F.col("price_specs")),
     })
     prefixes = cfg["brand_prefixes"] or V.BRAND_PREFIXES
@@ -67,7 +70,7 @@ def resolve(items: DataFrame, prices: DataFrame, cfg: dict, brands: DataFrame |
         score.match_kind(F.col("code_score"), F.col("verdict.conflicts")).alias("kind"), score.conflict_note(F.col("verdict")).alias("note"),
     )
     best = decide(scored, cfg)
-    matched = prices.select("list_ord", "price_id", F.col("code").alias("pdf_code"), F.concat_ws(" | ", F.nullif(F.trim("section_fa"), F.lit("")), F.nullif(F.trim("text"), F.lit(""))).alias("pdf_name"), F.col("page").alias("pdf_page"))
+    matched = prices.select("list_ord", "price_id", F.col("code").alias("pdf_code"), price_label(F.col("section_fa"), F.col("text")).alias("pdf_name"), F.col("page").alias("pdf_page"))
     out = gated.join(best, ["list_ord", "item_id"], "left").join(matched, ["list_ord", "price_id"], "left").join(items.select("item_id", "code", "name", "stock"), "item_id")
     return out.select(
         "list_ord", "item_id", "code", "name", "stock", "price", F.coalesce("pdf_code", F.lit("")).alias("pdf_code"), F.coalesce("pdf_name", F.lit("")).alias("pdf_name"), "pdf_page",

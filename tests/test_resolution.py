@@ -221,3 +221,52 @@ def test_the_flagship_query_reads_the_whole_price_list(spark, tmp_path):
     spark.createDataFrame([(3, 5.0)], "l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     out = {r.item_id: (r.list_ord, r.pdf_code, r.price) for r in plan_catalogue.resolve_prices(spark, str(tmp_path)).collect()}
     assert out == {key: (0, f"{kind}-{size}", price) for key, _, kind, size, _, price in parts}
+
+
+def test_one_failing_list_does_not_stop_the_others(spark, tmp_path):
+    words = [("a", 1, 100.0, 540.0, 590.0, "AB-12"), ("a", 1, 100.0, 300.0, 340.0, "lamp"), ("a", 1, 100.0, 100.0, 140.0, "141,000")]
+    spark.createDataFrame(words, "doc_id string, page int, y double, x0 double, x1 double, text string").write.parquet(str(tmp_path / "good"))
+    (tmp_path / "broken.pdf").write_bytes(b"no such file type")
+    items = spark.createDataFrame([(1, 1, "1", "lamp AB-12", 3.0, "")], "item_id long, row int, code string, name string, stock double, unit string")
+    said = []
+    engine = Engine(spark, {"restrict_to_price_list_brands": False, "scanned_char_threshold": 1}, progress=lambda percent, message: said.append(percent))
+    engine.add_path("  ")
+    engine.add_path(str(tmp_path / "missing"), label="first")
+    engine.add_path(str(tmp_path / "broken.pdf"), kind="pdf", label="second")
+    engine.add_path(str(tmp_path / "good"), label="third")
+    engine.set_inventory(items)
+    assert [r.price for r in engine.run().collect()] == [141000.0]
+    assert [(r["label"], r["ok"], r["pdf_rows"]) for r in engine.report] == [("first", False, 0), ("second", False, 0), ("third", True, 1)]
+    assert all(r["error"] for r in engine.report[:2]) and all(r["seconds"] >= 0 for r in engine.report)
+    assert said == sorted(said) and said[-1] == 100
+    engine.reset()
+    engine.add_path(str(tmp_path / "missing"), label="first")
+    engine.set_inventory(items)
+    with pytest.raises(config.AppError, match="no price list"):
+        engine.run()
+    with pytest.raises(config.AppError):
+        Engine(spark, brands_required=True).add_path("list.parquet")
+
+
+def test_the_command_line_tells_a_failure(tmp_path, spark, capsys):
+    from tallyweave.plans import cli
+
+    (tmp_path / "stock.csv").write_text("code,name,stock\n1,lamp,2\n", encoding="utf-8")
+    assert cli.main(["--words", str(tmp_path / "none"), "--inventory", str(tmp_path / "stock.csv"), "--out", str(tmp_path / "out.xlsx")]) == 2
+    assert "no price list could be read" in capsys.readouterr().err
+
+
+def test_oversized_numbers_are_no_crash(spark):
+    from tallyweave.functions import attributes
+    from tallyweave.operators import score
+
+    names = spark.createDataFrame([("box 99999999999999999999x40", "99999999999 w"), ("20x40x20", "7 w")], "a string, b string")
+    rows = names.select(attributes.specs(F.col("a")).alias("a"), attributes.specs(F.col("b")).alias("b"))
+    assert [r.d for r in rows.select(F.col("a.dims").alias("d")).collect()] == [[40], [20, 40]]
+    assert rows.select(score.spec_verdict(F.col("b"), F.col("a")).alias("v")).select("v.conflicts").collect()[0].conflicts == 0
+
+
+def test_settings_are_layered():
+    base, over = {"a": {"b": 1, "c": {"d": 2}}, "e": [1], "x": 0}, {"a": {"c": {"d": 3, "f": 4}}, "e": {"g": 5}, "x": {}}
+    assert config.layered(base, over) == {"a": {"b": 1, "c": {"d": 3, "f": 4}}, "e": {"g": 5}, "x": {}}
+    assert config.layered({"a": {"b": 1}}, {"a": {}}) == {"a": {"b": 1}} and config.layered() == {}
