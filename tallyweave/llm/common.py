@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +95,25 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Return memory that Python no longer uses to the system: a worker lives on after its task, beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may be another one
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """``work`` on the batches of a task, with ``give_back`` after each of its results."""
+
+    @functools.wraps(work)
+    def run(batches):
+        for out in work(batches):
+            yield out
+            give_back()
+
+    return run
+
+
 def small_side(table: DataFrame, rows: int = 500_000) -> DataFrame:
     """``table``, a staged one of a few numbers a row, broadcast in joins if it has at most ``rows`` rows."""
     return F.broadcast(table) if table.count() <= rows else table

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import first_by_hash, small_batches, stage
+from .common import first_by_hash, small_batches, stage, tidy
 
 DIMS = 4096
 FIT_ROWS = 400  # labelled documents for each language that centroids are fitted on, the first by hash of doc_id
@@ -149,7 +149,7 @@ def identify_languages(docs: DataFrame, model: dict, reject: float = REJECT, add
 
     kinds = StructType.fromDDL(f"{added[0]} string, {added[1]} double, {added[2]} boolean")
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    return rows.mapInArrow(predict, StructType([*rows.schema.fields, *kinds.fields]))
+    return rows.mapInArrow(tidy(predict), StructType([*rows.schema.fields, *kinds.fields]))
 
 
 def held_out(docs: DataFrame) -> F.Column:

@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import remove, small_batches, stage, staged_path
+from .common import give_back, remove, small_batches, stage, staged_path, tidy
 from .suffix_array import ragged, sort_many, sort_suffixes
 
 LENGTH, GRAM = 50, 24
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 STRETCH = 1 << 15
 BUCKET_KEYS = 600_000  # anchors of a bucket, about
 LONG_TEXT = 3000  # texts that are sorted alone rather than in step
@@ -170,7 +170,7 @@ def blocks_table(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     first, name = staged_path(spark, "packed"), f"tallyweave_{uuid.uuid4().hex}"
     with small_batches(spark):
-        docs.where("doc_id is not null").mapInArrow(packed, "block long, size long, blob binary").write.parquet(first)
+        docs.where("doc_id is not null").mapInArrow(tidy(packed), "block long, size long, blob binary").write.parquet(first)
     rows = spark.read.schema("block long, size long, blob binary").parquet(first)
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES), min(-(-total // LEAST_BYTES), 8 * spark.sparkContext.defaultParallelism))
@@ -375,6 +375,7 @@ def regions(block: Block, spans: Spans, buckets: int) -> tuple[np.ndarray, np.nd
 
 def ask_regions(buckets: int) -> Callable:
     def asked(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         out = ([], [], [])
         for block_id, blob in zip(blocks["block"], blocks["blob"], strict=True):
             block = unpack_block(blob)
@@ -410,6 +411,7 @@ def _unpack_regions(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def answer_regions(rows: pd.DataFrame) -> pd.DataFrame:
     """For each text of each block: the smallest doc_id that has the text, and bits of the 50-byte strings in it that a
     still smaller doc_id has in another text around the same anchor."""
+    give_back()  # what the group before held
     parts = [_unpack_regions(t) for t in rows["texts"]]
     h, text, least, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
     data = b"".join(p[4] for p in parts)
@@ -522,6 +524,7 @@ _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
 def mark_blocks(buckets: int, texts: bool) -> Callable:
     def marked(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         answers, out = answers.to_pandas(), []
         asked, found = answers[answers["kind"] == 1], answers[answers["kind"] == 2]
         for blob in blocks["blob"]:
@@ -566,7 +569,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True, buckets: int | None = No
     carried = docs.drop("doc_id", "text").schema.fields
     blocks, total = blocks_table(docs)
     buckets = buckets or max(8, -(-total * 3 // 40 // BUCKET_KEYS))
-    asked = blocks.select("block", "blob").mapInArrow(ask_anchors(buckets), "bucket int, block long, keys binary, twice binary, often binary")
+    asked = blocks.select("block", "blob").mapInArrow(tidy(ask_anchors(buckets)), "bucket int, block long, keys binary, twice binary, often binary")
     answers = stage(asked.groupBy("bucket").applyInPandas(answer_anchors(hot), "bucket int, block long, answer binary"), "anchors")
     around = blocks.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(ask_regions(buckets), "bucket int, block long, texts binary")
     found = stage(around.groupBy("bucket").applyInPandas(answer_regions, "bucket int, block long, answer binary"), "strings")
