@@ -19,7 +19,7 @@ from .common import small_batches, spared, stage
 from .suffix_array import ragged
 
 CAPACITY = 2048
-SALT_ROWS, SALTS = 20_000, 1024  # pieces of one length that a task ranks, and most parts that a length is cut in
+SALT_ROWS, SALTS = 500, 1024  # pieces of one length that a task ranks, and most parts that a length is cut in
 CACHE_WORDS = 700_000  # about 180 MB of a Python worker
 TEXT_BYTES = 4_000_000  # of texts that are encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
