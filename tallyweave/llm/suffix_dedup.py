@@ -37,11 +37,12 @@ from .suffix_array import ragged, sort_many, sort_suffixes
 LENGTH, GRAM = 50, 24
 BLOCK_BYTES = 1_000_000
 STRETCH = 1 << 15
-BUCKET_KEYS = 600_000  # anchors of a bucket, about
+BUCKET_KEYS = 300_000  # anchors of a bucket, about
 LONG_TEXT = 3000  # texts that are sorted alone rather than in step
 HOT_ANCHOR = 20_000  # different texts (by block) from which an anchor's strings are dealt out one by one
 OFTEN = 16  # texts in a block from which the block tells their number
 SPAN = 1 << 22  # bytes whose prefix sums are kept at once
+COMPARED = 20_000  # texts whose bytes are compared at once
 WIDEST = 80  # bytes that hold any text around an anchor
 BUCKET_BYTES, LEAST_BYTES = 64_000_000, 4_000_000  # input bytes of a bucket of blocks, and fewest where tasks are wanting
 _PLACE = np.uint64((1 << 28) - 1)  # places are within a stretch
@@ -232,14 +233,24 @@ def text_hashes(block: Block, spans: Spans) -> np.ndarray:
     return out
 
 
-def padded_texts(data: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The texts as rows of ten 64-bit words, zeros behind their end."""
-    raw = np.frombuffer(data + b"\0" * WIDEST, dtype=np.uint8)
-    out = np.lib.stride_tricks.sliding_window_view(raw, WIDEST)[first]
-    out = np.where(np.arange(WIDEST) < size[:, None], out, 0).astype(np.uint8)
+def padded_texts(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The texts as rows of ten 64-bit words, zeros behind their end; ``data`` has ``WIDEST`` bytes more."""
+    out = np.lib.stride_tricks.sliding_window_view(data, WIDEST)[first]
+    out[np.arange(WIDEST) >= size[:, None]] = 0
     return out.view("<u8")
 
 
+def differs(data: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each text has other bytes than the one before it; few texts are widened at a time."""
+    raw = np.frombuffer(data + b"\0" * WIDEST, dtype=np.uint8)
+    out = np.ones(len(first), dtype=bool)
+    for at in range(0, len(first), COMPARED):
+        begin = max(at - 1, 0)
+        words = padded_texts(raw, first[begin : at + COMPARED], size[begin : at + COMPARED])
+        out[begin + 1 : at + COMPARED] = (words[1:] != words[:-1]).any(axis=1)
+    return out
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> np.uint64(40)) % np.uint64(buckets)
 
@@ -364,9 +375,8 @@ def regions(block: Block, spans: Spans, buckets: int) -> tuple[np.ndarray, np.nd
     bucket = bucket_of(h, buckets)
     order = np.lexsort((block.ids[spans.doc], text, h, bucket))
     a, b = h[order], text[order]
-    words = padded_texts(block.data, spans.first[order], spans.last[order] + LENGTH - spans.first[order])
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (words[1:] != words[:-1]).any(axis=1)
+    new = differs(block.data, spans.first[order], spans.last[order] + LENGTH - spans.first[order])
+    new[1:] |= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     own = np.empty(len(order), dtype=np.int64)
     own[order] = np.cumsum(new) - 1
     heads = order[new]
@@ -414,13 +424,13 @@ def answer_regions(rows: pd.DataFrame) -> pd.DataFrame:
     give_back()  # what the group before held
     parts = [_unpack_regions(t) for t in rows["texts"]]
     h, text, least, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    data = b"".join(p[4] for p in parts)
+    data, cuts = b"".join(p[4] for p in parts), np.cumsum([len(p[0]) for p in parts])[:-1]
+    parts.clear()
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     order = np.lexsort((text, h))
     a, b = h[order], text[order]
-    words = padded_texts(data, starts[order], size[order])
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (words[1:] != words[:-1]).any(axis=1)
+    new = differs(data, starts[order], size[order])
+    new[1:] |= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     own = np.empty(len(order), dtype=np.int64)
     own[order] = np.cumsum(new) - 1
     first = order[new]
@@ -435,7 +445,6 @@ def answer_regions(rows: pd.DataFrame) -> pd.DataFrame:
         bits[members] = earlier_strings([data[starts[m] : starts[m] + size[m]] for m in first[members]], lowest[members], number[several])
     answer = np.empty(len(h), dtype=[("doc", "<i8"), ("bits", "<u4")])
     answer["doc"], answer["bits"] = lowest[own], bits[own]
-    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
     return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "answer": [a.tobytes() for a in np.split(answer, cuts)]})
 
 
