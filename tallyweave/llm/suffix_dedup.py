@@ -244,10 +244,11 @@ def differs(data: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether each text has other bytes than the one before it; few texts are widened at a time."""
     raw = np.frombuffer(data + b"\0" * WIDEST, dtype=np.uint8)
     out = np.ones(len(first), dtype=bool)
+    resized = size[1:] != size[:-1]  # zeros at the end may be the text's own
     for at in range(0, len(first), COMPARED):
         begin = max(at - 1, 0)
         words = padded_texts(raw, first[begin : at + COMPARED], size[begin : at + COMPARED])
-        out[begin + 1 : at + COMPARED] = (words[1:] != words[:-1]).any(axis=1)
+        out[begin + 1 : at + COMPARED] = (words[1:] != words[:-1]).any(axis=1) | resized[begin : at + COMPARED - 1]
     return out
 
 

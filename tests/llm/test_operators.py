@@ -200,6 +200,20 @@ def test_texts_of_one_hash_are_told_apart_by_bytes(monkeypatch):
     assert [int(gone[a : a + n].sum()) for a, n in zip(block.starts, block.sizes, strict=True)] == [r[2] for r in expected]
 
 
+def test_texts_differ_across_slices(monkeypatch):
+    rng = random.Random(6)
+    own = [bytes(rng.choice(b"ab") for _ in range(rng.choice((50, 51, 76)))) for _ in range(4)]
+    texts_sent = [rng.choice(own) for _ in range(40)] + [own[0], own[0] + b"\0"]
+    size = np.array([len(t) for t in texts_sent])
+    first = np.cumsum(size) - size
+    expected = [True, *(a != b for a, b in zip(texts_sent, texts_sent[1:], strict=False))]
+    for compared in (1, 3, 41, 1000):
+        monkeypatch.setattr(suffix_dedup, "COMPARED", compared)
+        assert suffix_dedup.differs(b"".join(texts_sent), first, size).tolist() == expected
+    none = np.zeros(0, dtype=np.int64)
+    assert len(suffix_dedup.differs(b"", none, none)) == 0
+
+
 def test_dropping_repeats_keeps_columns(spark, awkward):
     out = suffix_dedup.drop_repeats(awkward)
     assert out.columns == awkward.columns and out.dtypes == awkward.dtypes
