@@ -39,7 +39,7 @@ BLOCK_BYTES = 1_000_000
 STRETCH = 1 << 15
 BUCKET_KEYS = 300_000  # anchors of a bucket, about
 LONG_TEXT = 3000  # texts that are sorted alone rather than in step
-HOT_ANCHOR = 20_000  # different texts (by block) from which an anchor's strings are dealt out one by one
+HOT_ANCHOR = 5_000  # different texts (by block) from which an anchor's strings are dealt out one by one
 OFTEN = 16  # texts in a block from which the block tells their number
 SPAN = 1 << 22  # bytes whose prefix sums are kept at once
 COMPARED = 20_000  # texts whose bytes are compared at once
