@@ -77,8 +77,9 @@ def token_hits(tokens: DataFrame, postings: DataFrame, weights: DataFrame) -> Da
     return tokens.join(weighed, "token").select("list_ord", "item_id", "price_id", F.col("idf").alias("w"))
 
 
-def top_candidates(hits: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` best price rows of each item and list by summed evidence, ties to the smaller price_id."""
-    summed = hits.groupBy("list_ord", "item_id", "price_id").agg(F.round(F.sum("w"), 9).alias("evidence"))
+def top_candidates(hits: DataFrame, limit: int, sums: tuple[str, ...] = ()) -> DataFrame:
+    """The ``limit`` best price rows of each item and list by summed evidence, ties to the smaller price_id; with the sums
+    of the columns named."""
+    summed = hits.groupBy("list_ord", "item_id", "price_id").agg(F.round(F.sum("w"), 9).alias("evidence"), *[F.sum(c).alias(c) for c in sums])
     best = Window.partitionBy("list_ord", "item_id").orderBy(F.col("evidence").desc(), "price_id")
     return summed.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit).drop("_n")

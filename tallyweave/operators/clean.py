@@ -21,9 +21,18 @@ def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def clean_prices(rows: DataFrame, low: float, high: float, partition: list[str] = ()) -> DataFrame:
     """Price rows within range, the first of each code, or of each text where there is no code."""
     keyed = valid_prices(rows, low, high).withColumn("_key", F.when(F.col("code_key") != "", F.col("code_key")).otherwise(F.concat(F.lit("t:"), F.col("context"))))
+    keys = [*partition, "_key"]
     return keep_first(keyed, [*partition, "_key"], "price_id").drop("_key")
 
 
+def first_of_equal(rows: DataFrame, low: float, high: float, partition: list[str] = ()) -> DataFrame:
+    """Of raw price rows, those that ``clean_prices`` may keep: its key follows from code, section and text, so of rows
+    within range that are equal in these only the first is worth its derived columns. Dealt out anew for that work."""
+    keys = [*partition, "code", "section_fa", "text"]
+    firsts = keep_first(rows.where(F.col("price").between(low, high)), keys, "price_id")
+    return firsts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def price_report(rows: DataFrame, low: float, high: float) -> DataFrame:
     """input, dropped_no_price, duplicates and output of ``clean_prices``."""
     good = F.col("price").between(low, high) & ((F.col("code_key") != "") | (F.col("context") != ""))
@@ -52,6 +61,12 @@ def prepare_inventory(items: DataFrame, cfg: dict) -> DataFrame:
     }).drop("_codes", "_own")
 
 
+def distinct_names(items: DataFrame) -> DataFrame:
+    """``items`` with ``own``: all that is matched on follows from name and own, the code unless it has digits alone."""
+    code = F.coalesce("code", F.lit(""))
+    return items.withColumns({"name": F.coalesce("name", F.lit("")), "own": F.when(code.rlike(r"\A[0-9]*\z"), "").otherwise(code)})
+
+
 def clean_inventory(items: DataFrame) -> DataFrame:
     return items.where((F.col("code") != "") | (F.col("name_key") != ""))
 

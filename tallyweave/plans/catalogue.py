@@ -104,8 +104,9 @@ def raw_prices(spark: SparkSession, d: str) -> DataFrame:
 def prices(spark: SparkSession, d: str, one_list: bool = False) -> DataFrame:
     """The cleaned rows of both lists, or of all parts as a single list 0."""
     raw = raw_prices(spark, d)
-    rows = layout.finalize(raw.withColumn("list_ord", F.lit(0)) if one_list else raw)
-    return clean.clean_prices(rows, CFG["min_valid_price"], CFG["max_valid_price"], ["list_ord"])
+    bounds = CFG["min_valid_price"], CFG["max_valid_price"]
+    raw = clean.first_of_equal(raw.withColumn("list_ord", F.lit(0)) if one_list else raw, *bounds, ["list_ord"])
+    return clean.clean_prices(layout.finalize(raw), *bounds, ["list_ord"])
 
 
 def inventory(spark: SparkSession, d: str) -> DataFrame:

@@ -163,6 +163,28 @@ def test_partitioning_does_not_change_results(spark, catalogue):
     assert first == matched(spark, catalogue.repartition(7), names)
 
 
+def test_equal_names_are_matched_once(spark, catalogue, monkeypatch):
+    names = [f"پنل اس ام دی {w} وات شیله (SCAP)" for w in (7, 9, 12)]
+    single, met, top = matched(spark, catalogue, names), [], resolve.C.top_candidates
+
+    def counted(hits, *more):
+        met.append(hits.select("item_id").distinct().count())
+        return top(hits, *more)
+
+    monkeypatch.setattr(resolve.C, "top_candidates", counted)
+    out = matched(spark, catalogue, names * 20)
+    assert met == [3] and [r.item_id for r in out] == list(range(60))
+    assert all(r.asDict() == single[r.item_id % 3].asDict() | {"item_id": r.item_id} for r in out)
+
+
+def test_equal_price_rows_are_derived_once(spark):
+    rows = [(i, 0, "AB-1", "lamp", None, None, price) for i, price in ((4, 50.0), (3, 500.0), (1, 5.0), (2, 600.0))] + [(9, 1, "AB-1", "lamp", None, None, 70.0)]
+    raw = spark.createDataFrame(rows, "price_id long, list_ord int, code string, text string, section_fa string, section_en string, price double")
+    assert sorted(r.price_id for r in clean.first_of_equal(raw, 10, 1000, ["list_ord"]).collect()) == [2, 9]
+    kept = [clean.clean_prices(layout.finalize(r), 10, 1000, ["list_ord"]) for r in (raw, clean.first_of_equal(raw, 10, 1000, ["list_ord"]))]
+    assert sorted(map(str, kept[0].collect())) == sorted(map(str, kept[1].collect()))
+
+
 def test_engine_end_to_end(spark, tmp_path):
     words = [("a.pdf", 1, float(y), x0, x0 + 40, t) for y, code, watt, price in ((100, "SCAP-7", "7", "141,000"), (130, "SCAP-9", "9", "177,000"), (160, "SCAP-12", "12", "297,000"))
              for x0, t in ((450.0, code), (380.0, "پنل"), (300.0, f"{watt}وات"), (80.0, price))]
