@@ -41,7 +41,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @after_the_one_before
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, a similarity of 0.8)."""
+    """One document of each group whose SimHash fingerprints are linked (three words, 3 bits)."""
     return simhash.drop_near_duplicates(docs)
 
 

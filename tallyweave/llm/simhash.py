@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, stage
-from .near_copies import one_of_each
+from .common import connected_components, small_batches, spared, stage
 
 RADIUS = 3
 HOT = 1000  # fingerprints that share a segment; beyond it the bucket is split by bytes of the other segment
@@ -98,5 +97,15 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies, as the pipeline takes them; op8's radius is no part of it."""
-    return one_of_each(docs)
+    """Exactly one row of each component of ``near_duplicates``: that of its smallest doc_id, a null one last, then by the
+    text's hash. Other columns are kept, whatever their names."""
+    names, docs = docs.columns, spared(docs, {"_row", "fp", "component_id"})
+    # a row's number must not change between the two readings of it
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = fingerprints(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    firsts = found.join(rows.select("_row", order.alias("first")), "_row").groupBy("fp").agg(F.min("first").alias("first"))
+    firsts = stage(firsts, "firsts")
+    parts = connected_components(near_pairs(firsts.select("fp"))).withColumnsRenamed({"node": "fp"})
+    kept = firsts.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp").alias("part")).agg(F.min("first").alias("first"))
+    return rows.join(kept.select("first._row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).toDF(*names)

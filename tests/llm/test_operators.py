@@ -427,6 +427,16 @@ def test_simhash_components(spark, awkward, monkeypatch):
     assert {r.doc_id for r in simhash.drop_near_duplicates(awkward).collect()}.isdisjoint({3, 7, 12})
 
 
+def test_the_pipeline_keeps_one_of_each_simhash_component(spark, awkward):
+    ids = [r.component_id for r in simhash.near_duplicates(awkward.where("doc_id is not null")).select("component_id").distinct().collect()]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(awkward.where("doc_id is not null")).collect()) == sorted(ids)
+    mixed = " ".join(f"w{i}" for i in range(400))
+    rows = [(None, mixed), (None, mixed.upper()), (3, "x y z"), (3, "X y  z"), (3, "other words here now"), (4, None), (9, " ")]
+    out = simhash.drop_near_duplicates(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, FP string").repartition(3))
+    assert out.columns == ["doc_id", "text", "FP"]
+    assert sorted((r.doc_id or 0, simhash.fingerprint(r.text)) for r in out.collect()) == sorted((i or 0, simhash.fingerprint(t)) for i, t in (rows[0], rows[2], rows[4], rows[5]))
+
+
 def test_fingerprint_by_hand():
     import xxhash
 
