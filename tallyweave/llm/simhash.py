@@ -50,6 +50,7 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
     verified over all 64 bits. A segment value that over ``hot`` fingerprints share is split further: if one segment
     matches, the other's four bytes hold at least one that is equal, so table and probes also carry such a byte.
     Fingerprints that are all within 3 bits of each other number 128 at most, so links stay near the input in number.
+    Spark takes 33 exploded rows for as large as the one they come from and would broadcast them through the driver.
     """
     if radius > 3:
         raise ValueError("two segments and single-bit balls find pairs within 3 bits only")
@@ -72,7 +73,7 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
         marked = crowded.withColumn("split", F.lit(True))
         split = F.explode(F.when(F.col("split"), F.col("rest")).otherwise(F.array(plain)))
         table, probes = (x.join(marked, "key", "left").select("fp", "key", split.alias("part")) for x in (table, probes))
-    met = table.select(F.col("fp").alias("a"), "key", "part").join(probes.select(F.col("fp").alias("b"), "key", "part"), ["key", "part"])
+    met = table.select(F.col("fp").alias("a"), "key", "part").hint("merge").join(probes.select(F.col("fp").alias("b"), "key", "part"), ["key", "part"])
     return met.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b").distinct()
 
 
@@ -89,7 +90,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = first.join(parts.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     heads = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = linked.select("fp", "component").join(heads, "component").select("fp", "component_id")
-    return found.join(ids, "fp").select("doc_id", "fp", "component_id")
+    # copies pack so well in Parquet that Spark would take millions of them for a table to broadcast
+    return found.hint("merge").join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = fingerprints(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
-    firsts = found.join(rows.select("_row", order.alias("first")), "_row").groupBy("fp").agg(F.min("first").alias("first"))
+    firsts = found.hint("merge").join(rows.select("_row", order.alias("first")), "_row").groupBy("fp").agg(F.min("first").alias("first"))
     firsts = stage(firsts, "firsts")
     parts = connected_components(near_pairs(firsts.select("fp"))).withColumnsRenamed({"node": "fp"})
     kept = firsts.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp").alias("part")).agg(F.min("first").alias("first"))

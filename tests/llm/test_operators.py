@@ -437,6 +437,22 @@ def test_the_pipeline_keeps_one_of_each_simhash_component(spark, awkward):
     assert sorted((r.doc_id or 0, simhash.fingerprint(r.text)) for r in out.collect()) == sorted((i or 0, simhash.fingerprint(t)) for i, t in (rows[0], rows[2], rows[4], rows[5]))
 
 
+def test_simhash_broadcasts_no_table_that_grows(spark):
+    rng = random.Random(9)
+    few = [" ".join(str(rng.getrandbits(20)) for _ in range(4)) for _ in range(2000)]
+    size = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2m")  # the smallest table is 1 MB; the probes of 2000 fingerprints are 40 MB, 200,000 copies over 4 MB
+    try:
+        table = spark.createDataFrame([(simhash.fingerprint(t),) for t in few], "fp long").distinct()
+        assert simhash.near_pairs(common.stage(table, "fps")).count() == 0
+        docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("one text of copies").alias("text")).union(spark.createDataFrame(enumerate(few, 200_000), "doc_id long, text string"))
+        assert docs.count() == simhash.simhash_digest(docs).count() == 202_000
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()) == [0, *range(200_000, 202_000)]
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_fingerprint_by_hand():
     import xxhash
 
